@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op8_decontamination
+from .langid import op9_language_id
 from .neardup import op2_minhash_dedup
 from .substring import op3_substring_dedup
 from .suffix import op5_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_substring_dedup, op5_suffix_dedup)}
+    return {f.__name__: f for f in (op2_minhash_dedup, op3_substring_dedup, op5_suffix_dedup, op8_decontamination, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
