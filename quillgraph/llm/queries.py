@@ -6,16 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licences
 from .decontaminate import op8_decontamination
 from .langid import op9_language_id
+from .licences import op4_licence_scan
 from .neardup import op2_minhash_dedup
+from .packing import op10_best_fit_packing
+from .quality import op1_quality_rules
 from .substring import op3_substring_dedup
 from .suffix import op5_suffix_dedup
+from .warc import op7_warc_revisits
+
+QUERIES = (op1_quality_rules, op2_minhash_dedup, op3_substring_dedup, op4_licence_scan, op5_suffix_dedup, op7_warc_revisits, op8_decontamination, op9_language_id, op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_dedup, op3_substring_dedup, op5_suffix_dedup, op8_decontamination, op9_language_id)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_licence_scan": licences.oracle()}
