@@ -195,6 +195,12 @@ def runs(sorted_buckets: np.ndarray):
             yield int(sorted_buckets[a]), int(a), int(b)
 
 
+def covered(begins: np.ndarray, length: int) -> np.ndarray:
+    """Which places lie in a run of `length` that begins where `begins` says."""
+    total = np.concatenate((np.zeros(length, np.int64), np.cumsum(begins)))
+    return total[length:] > total[: len(begins)]
+
+
 def schema_with(docs: DataFrame, without: set[str], extra: list[T.StructField]) -> tuple[T.StructType, list[str]]:
     """The columns an operator hands on: the input's, less `without` and those its own would clash with, then its own."""
     own = {f.name.lower() for f in extra} | {w.lower() for w in without}

@@ -293,15 +293,13 @@ def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
             return arrow.empty_table()
         told = corpus.read_notes(right)
         size = len(doc.buf)
-        cover = np.zeros(size + 1, np.int32)
+        begins = np.zeros(size, bool)
         for note in told.get(GONE, []):
             at, mask = corpus.unsqueeze(note, 2)
             at = at.astype(np.int64)
             for j in range(left + 1):
-                start = at[(mask >> np.uint32(j)) & np.uint32(1) > 0] - j
-                cover += np.bincount(start, minlength=size + 1).astype(np.int32)
-                cover -= np.bincount(start + length, minlength=size + 1).astype(np.int32)
-        gone = np.cumsum(cover)[:size] > 0
+                begins[at[(mask >> np.uint32(j)) & np.uint32(1) > 0] - j] = True
+        gone = corpus.covered(begins, length)
         n_bytes = np.diff(doc.off)
         for i in np.flatnonzero(np.isin(doc.ids, corpus.copy_ids(told)) & (n_bytes >= length)):
             gone[doc.off[i] : doc.off[i + 1]] = True
