@@ -29,9 +29,10 @@ from . import textcore as tc
 
 END, LENGTH = 1, 4096
 GROUP_PIECES = 16_000
-#: Chunks whose tokens a Python worker remembers.
-CACHE = 300_000
+#: Chunks whose tokens a Python worker remembers; others are encoded again when they come.
+CACHE = 1_000_000
 _loaded: dict[str, Chunks] = {}
+_PAUSE, _LETTER = np.isin(np.arange(256), list(b".,!?;:")), np.isin(np.arange(256), range(97, 123))
 
 
 def default_vocabulary() -> str:
@@ -41,43 +42,102 @@ def default_vocabulary() -> str:
 
 
 class Chunks:
-    """Token ids of white-space separated chunks, remembered up to CACHE of them."""
+    """Token ids of white-space separated chunks.  The first CACHE of them are remembered, by 64-bit hash."""
+
+    PROBES = 4
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.bits = int(CACHE * 3).bit_length()
+        self.keys = np.zeros((1 << self.bits) + self.PROBES, np.uint64)
+        self.values = np.zeros(len(self.keys), np.int32)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.index) + len(new) > CACHE:
-            self.clear()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)]
-        n = len(self.index)
-        self.index.update(zip(new, range(n, n + len(new)), strict=True))
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in got])])
-        self.ids = np.concatenate([self.ids, np.array([t for x in got for t in x], np.uint32)])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, an END after each text, and each text's offset."""
-        words = [t.split() for t in texts]
-        flat = [w for x in words for w in x]
-        if new := list({w for w in flat if w not in self.index}):
-            before = len(self.index)
-            self.learn(new)
-            if len(self.index) < before + len(new):  # forgotten meanwhile
-                self.learn([w for w in dict.fromkeys(flat) if w not in self.index])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-        size = self.start[at + 1] - self.start[at]
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def fresh(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks and where each ends.  Chunks of letters are encoded in one go: each has one token that ends a word."""
+        words = [w.decode() for w in new]
+        plain = np.array([w.isalpha() for w in words], bool)
+        size = np.zeros(len(new), np.int64)
+        letters = [w for w, p in zip(words, plain, strict=True) if p]
+        joined = np.array(self._each([" ".join(letters)])[0], np.uint32) if letters else np.zeros(0, np.uint32)
+        end = np.flatnonzero(self.ends_word[joined]) + 1
+        if len(end) != len(letters):
+            plain[:], letters, joined, end = False, [], joined[:0], end[:0]
+        size[plain] = np.diff(end, prepend=0)
+        rest = self._each([w for w, p in zip(words, plain, strict=True) if not p]) if not plain.all() else []
+        size[~plain] = [len(x) for x in rest]
+        stop = np.cumsum(size)
+        ids = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
+        mine = np.repeat(plain, size)
+        ids[mine] = joined
+        ids[~mine] = [t for x in rest for t in x]
+        return ids, stop
+
+    def _slot(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Number of each remembered chunk, -1 for others."""
+        slot = self._slot(h)
+        got = np.where(self.keys[slot] == h, self.values[slot], -1)
+        for p in range(1, self.PROBES):
+            miss = np.flatnonzero(got < 0)
+            at = slot[miss] + p
+            hit = self.keys[at] == h[miss]
+            got[miss[hit]] = self.values[at[hit]]
+        return got
+
+    def remember(self, h: np.ndarray, first: int) -> None:
+        number = np.arange(first, first + len(h), dtype=np.int32)
+        for p in range(self.PROBES):
+            at = self._slot(h) + p
+            _, one = np.unique(at, return_index=True)
+            one = one[self.keys[at[one]] == 0]
+            self.keys[at[one]], self.values[at[one]] = h[one], number[one]
+            rest = np.ones(len(h), bool)
+            rest[one] = False
+            h, number = h[rest], number[rest]
+
+    def encode(self, buf: np.ndarray, off: np.ndarray, end: int | None = END) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, `end` after each text unless None, and each text's offset."""
+        low = tc.LOWER[buf]
+        cut = np.zeros(len(low), bool)
+        # where a letter meets one of these signs the vocabulary's rules always cut, so chunks may be cut there
+        cut[1:] = _PAUSE[low[1:]] & _LETTER[low[:-1]]
+        s, e, woff = tc.words(low, off, cut)
+        h = tc.spans_hash(low, s, e) | np.uint64(1)
+        at = self.find(h)
+        start, ids = self.start, self.ids
+        if len(miss := np.flatnonzero(at < 0)):
+            n = len(start) - 1
+            new, where, inverse = np.unique(h[miss], return_index=True, return_inverse=True)
+            raw = low.tobytes()
+            where = miss[where]
+            more, stop = self.fresh([raw[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)])
+            at[miss] = n + inverse
+            start, ids = np.concatenate([start, start[-1] + stop]), np.concatenate([ids, more])
+            if n + len(new) <= CACHE:
+                self.start, self.ids = start, ids
+                self.remember(new, n)
+        size = start[at + 1] - start[at]
         ends = np.concatenate(([0], np.cumsum(size)))
-        source = np.arange(ends[-1]) + np.repeat(self.start[at] - ends[:-1], size)
-        doc = ends[np.concatenate(([0], np.cumsum([len(x) for x in words])))]
-        return np.insert(self.ids[source], doc[1:], END), doc + np.arange(len(doc))
+        source = np.arange(ends[-1]) + np.repeat(start[at] - ends[:-1], size)
+        doc = ends[woff]
+        if end is None:
+            return ids[source], doc
+        out = np.full(len(source) + len(doc) - 1, end, np.uint32)
+        room = np.ones(len(out), bool)
+        room[doc[1:] + np.arange(len(doc) - 1)] = False
+        out[room] = ids[source]
+        return out, doc + np.arange(len(doc))
 
 
 def chunks(path: str) -> Chunks:
@@ -95,9 +155,8 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
         for batch in batches:
             who = batch.column(0).to_numpy(zero_copy_only=False)
             buf, off = tc.flat(batch.column(1))
-            raw = buf.tobytes()
             for a, b in tc.slabs(off):
-                ids, at = made.encode([raw[off[i] : off[i + 1]] for i in range(a, b)])
+                ids, at = made.encode(buf[off[a] : off[b]], off[a : b + 1] - off[a])
                 n = np.diff(at)
                 pieces = -(-n // length)
                 doc = np.repeat(np.arange(b - a), pieces)

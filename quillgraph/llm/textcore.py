@@ -80,8 +80,11 @@ def slabs(off: np.ndarray, most: int = 1 << 20):
         a = b
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each document the index of its first word (n + 1 entries)."""
+def words(buf: np.ndarray, off: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each document the index of its first word (n + 1 entries).
+
+    `cut` marks bytes at which a word is to start although another one ends there.
+    """
     n = len(buf)
     if not n:
         z = np.zeros(0, np.int64)
@@ -89,6 +92,8 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     inside = IS_WORD[buf]
     edge = np.zeros(n + 1, np.bool_)
     edge[off] = True
+    if cut is not None:
+        edge[:n] |= cut
     first = inside.copy()
     first[1:] &= ~inside[:-1] | edge[1:n]
     last = inside.copy()
