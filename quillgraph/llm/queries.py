@@ -10,6 +10,7 @@ from . import licences
 from .decontaminate import op8_decontamination
 from .langid import op9_language_id
 from .licences import op4_licence_scan
+from .lm import op6_lm_scores
 from .neardup import op2_minhash_dedup
 from .packing import op10_best_fit_packing
 from .quality import op1_quality_rules
@@ -17,7 +18,7 @@ from .substring import op3_substring_dedup
 from .suffix import op5_suffix_dedup
 from .warc import op7_warc_revisits
 
-QUERIES = (op1_quality_rules, op2_minhash_dedup, op3_substring_dedup, op4_licence_scan, op5_suffix_dedup, op7_warc_revisits, op8_decontamination, op9_language_id, op10_best_fit_packing)
+QUERIES = (op1_quality_rules, op2_minhash_dedup, op3_substring_dedup, op4_licence_scan, op5_suffix_dedup, op6_lm_scores, op7_warc_revisits, op8_decontamination, op9_language_id, op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
