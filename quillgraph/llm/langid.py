@@ -158,6 +158,26 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], key: str, text: str
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a cosine of at least `least` with some prototype; all with a letter if nothing was learned."""
+    matrix = np.stack(list(learned.values())) if learned else np.zeros((0, DIMENSIONS), np.float32)
+    shipped = docs.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        matrix = shipped.value
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            keep = [np.zeros(0, bool)]
+            for a, b in portions(texts):
+                v, some = profiles(texts[a:b])
+                if len(matrix):
+                    some = some & ((v @ matrix.T).max(axis=1) >= least * np.linalg.norm(v, axis=1))
+                keep.append(some)
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Learn from the rows that are not held out, then judge all: key, held_out, lang_pred, score."""
     learned = prototypes(docs.where(~held_out(key)), text, lang)
