@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ranking
+from . import ranking, smallgraph
 from .state import cut
 
 #: Up to so many edges a personalised PageRank runs as one numpy task (16 bytes an edge).
 SMALL_EDGES = 2_000_000
+#: Up to so many nodes reachability runs in one task as bit sets (n * n / 8 bytes: 50 MB).
+SMALL_NODES = 20_000
 #: kinds and direction of the question presets.
 PRESETS = {
     "callers": (("Calls",), "in"),
@@ -56,6 +58,26 @@ def nodes_of(edges: DataFrame, *more: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _is_small(edges: DataFrame, mode: str, most: int = SMALL_EDGES) -> bool:
+    """Whether an operator runs in one task: as told, or by a count that stops at the bound."""
+    if mode not in ("auto", "task", "joins"):
+        raise ValueError(f"mode {mode!r} is none of auto, task, joins")
+    return mode == "task" or mode == "auto" and edges.limit(most + 1).count() <= most
+
+
+def _in_task(edges: DataFrame, nodes: DataFrame | None, f, shape: str) -> DataFrame:
+    """f(names, src, dst) -> columns, over the whole of a small graph in one task."""
+    kind = edges.schema["src"].dataType.simpleString()
+    e = edges.select(F.lit(0).alias("one"), "src", "dst")
+    n = (nodes if nodes is not None else edges.select(F.col("src").alias("node"))).select(F.lit(0).alias("one"), "node").distinct()
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names, at = np.unique(np.concatenate([left["src"].to_numpy(), left["dst"].to_numpy(), right["node"].to_numpy()]), return_inverse=True)
+        return pd.DataFrame(f(names, at[: len(left)], at[len(left) : 2 * len(left)]))
+
+    return e.groupBy("one").cogroup(n.groupBy("one")).applyInPandas(run, shape.format(kind))
+
+
 def _ppr_numpy(edges: DataFrame, entries: DataFrame, damping: float, rounds: int) -> DataFrame:
     e = edges.select(F.lit(0).alias("one"), F.col("src").cast("long"), F.col("dst").cast("long"))
     s = entries.select(F.lit(0).alias("one"), F.col("node").cast("long"))
@@ -89,9 +111,8 @@ def ppr(edges: DataFrame, entries: DataFrame, damping: float = 0.85, rounds: int
     """
     entries = entries.select("node").distinct()
     if mode == "auto":
-        small = edges.limit(SMALL_EDGES + 1).count() <= SMALL_EDGES
-        mode = "numpy" if small and edges.schema["src"].dataType.typeName() in ("long", "integer") else "joins"
-    if mode == "numpy":
+        mode = "task" if edges.schema["src"].dataType.typeName() in ("long", "integer") and _is_small(edges, "auto") else "joins"
+    if mode == "task":
         return _ppr_numpy(edges, entries, damping, rounds)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     home = F.when(F.col("is_entry"), 1 / F.lit(entries.count()).cast("double")).otherwise(0.0)
@@ -155,8 +176,10 @@ def closure(edges: DataFrame) -> DataFrame:
         seen = cut(seen.unionByName(new))
 
 
-def blast_radius(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+def blast_radius(edges: DataFrame, nodes: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """node, blast: how many other nodes lead to it, directly or not; a row for every node."""
+    if mode == "task" or mode == "auto" and _is_small(edges, mode) and nodes_of(edges, *([nodes] if nodes is not None else [])).count() <= SMALL_NODES:
+        return _in_task(edges, nodes, lambda names, s, d: {"node": names, "blast": smallgraph.dependents(s, d, smallgraph.components(s, d, len(names)))}, "node {}, blast long")
     every = nodes_of(edges, *([nodes] if nodes is not None else []))
     back = closure(edges).where("src <> dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
     return every.join(back, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("blast"))
@@ -183,13 +206,27 @@ def blast_radius_sampled(edges: DataFrame, most: int = 5000) -> DataFrame:
     return nodes.join(count, "node", "left").select("node", F.coalesce("n", F.lit(0)).cast("long").alias("blast"))
 
 
-def scc(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """node, scc: strongly connected components, named by their smallest node.
+def _scc_task(names, src, dst) -> dict:
+    comp = smallgraph.components(src, dst, len(names))
+    first = np.full(int(comp.max(initial=-1)) + 1, len(names))
+    np.minimum.at(first, comp, np.arange(len(names)))
+    return {"node": names, "scc": names[first[comp]]}
+
+
+def _levels_task(names, src, dst) -> dict:
+    comp = smallgraph.components(src, dst, len(names))
+    return {"node": names, "level": smallgraph.levels(src, dst, comp)[comp].astype(np.int32)}
+
+
+def scc(edges: DataFrame, nodes: DataFrame | None = None, mode: str = "auto") -> DataFrame:
+    """node, scc: strongly connected components, named by their smallest node; a graph counted small runs in one task.
 
     Forward and backward colouring: every open node takes the smallest name that reaches it; within a
     colour, what reaches the node of that name is its component and leaves.  Nodes without open
     in- or out-edges are components of their own and leave first.
     """
+    if _is_small(edges, mode):
+        return _in_task(edges, nodes, _scc_task, "node {0}, scc {0}")
     every = cut(nodes_of(edges, *([nodes] if nodes is not None else [])))
     e = cut(edges.select("src", "dst").where("src <> dst").distinct())
     done = None
@@ -229,9 +266,11 @@ def scc(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         e = cut(e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
 
 
-def levels(edges: DataFrame, components: DataFrame | None = None) -> DataFrame:
+def levels(edges: DataFrame, components: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """node, level: longest path over components to one without outgoing edges; a component's nodes share it."""
-    comp = cut(components if components is not None else scc(edges))
+    if _is_small(edges, mode):
+        return _in_task(edges, components.select("node") if components is not None else None, _levels_task, "node {}, level int")
+    comp = cut(components if components is not None else scc(edges, mode=mode))
     name = lambda side: comp.select(F.col("node").alias(side), F.col("scc").alias(f"{side}_c"))
     dag = cut(edges.select("src", "dst").join(name("src"), "src").join(name("dst"), "dst").where("src_c <> dst_c").select(F.col("src_c").alias("src"), F.col("dst_c").alias("dst")).distinct())
     level = cut(comp.select(F.col("scc").alias("node")).distinct().withColumn("level", F.lit(0)))

@@ -69,7 +69,8 @@ def cosine_scores(symbols: DataFrame, queries: DataFrame, block: int = QUERY_BLO
 
 
 def ranked(scores: DataFrame, score: str, rank: str, k: int = POOL) -> DataFrame:
-    return ranking.top_k(scores, ["qid"], [F.desc(score), F.asc("id")], k, rank)
+    """The k best of each query.  Scores rank by nine digits: sums of doubles differ in the last ones with their order, and such ties go by id."""
+    return ranking.top_k(scores, ["qid"], [F.desc(F.round(score, 9)), F.asc("id")], k, rank)
 
 
 def rrf(bm: DataFrame, vec: DataFrame, alpha: float = ALPHA, c: int = RRF_C) -> DataFrame:
@@ -88,7 +89,7 @@ def hybrid(symbols: DataFrame, queries: DataFrame, k: int = 5, alpha: float = AL
     vec = ranked(cosine_scores(symbols, queries), "vector_score", "vector_rank", pool)
     fused = rrf(bm, vec, alpha)
     keep = max(pool, k) if reranker else k
-    best = ranking.top_k(fused, ["qid"], [F.desc("rrf_score"), F.asc("id")], keep, "rank")
+    best = ranked(fused, "rrf_score", "rank", keep)
     hits = best.join(symbols.drop("embedding"), "id")
     hits = hits.withColumn("rerank_score", F.lit(None).cast("double"))
     if reranker:

@@ -63,7 +63,7 @@ vec AS (SELECT qid, vec_id AS id, list_cosine_similarity(CAST(embedding AS DOUBL
 
 
 def _ranked(name: str, score: str, rank: str) -> str:
-    return f"{name}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {score} DESC, id) AS {rank} FROM {name}) WHERE {rank} <= 50)"
+    return f"{name}_r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round({score}, 9) DESC, id) AS {rank} FROM {name}) WHERE {rank} <= 50)"
 
 
 _ALL = [(q, t) for q, t, _ in QUESTIONS]
@@ -80,7 +80,7 @@ def vector_topk(spark, d):
 
 
 @query("""WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) AS x FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS rank FROM s) SELECT qid, id, rank, round(x, 6) AS score FROM r WHERE rank <= 10""")
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(x, 9) DESC, id) AS rank FROM s) SELECT qid, id, rank, round(x, 6) AS score FROM r WHERE rank <= 10""")
 def vector_topk_batch(spark, d):
     """The ten nearest to each query vector; the queries are the ids divisible by 50, searched against all."""
     e = embedded(spark, d)
@@ -120,13 +120,13 @@ def rrf_fusion(spark, d):
     return rt.rrf(*_lists(spark, d)).select("qid", "id", "bm25_rank", "vector_rank", F.round("rrf_score", 9).alias("rrf_score"))
 
 
-@query(f"""WITH {_FUSED}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf_score DESC, id) AS rank FROM fused)
+@query(f"""WITH {_FUSED}, top AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(rrf_score, 9) DESC, id) AS rank FROM fused)
 SELECT t.qid, t.rank, t.id, s.name, s.kind, s.path, round(t.rrf_score, 9) AS score FROM top t JOIN symbols s USING (id) WHERE t.rank <= 5""")
 def hybrid_search(spark, d):
     """The five best documents for every question: text and vectors, fused."""
     docs = views.documents(spark, d).join(embedded(spark, d).select("id", "embedding"), "id", "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
     bm, vec = _lists(spark, d)
-    best = rt.ranking.top_k(rt.rrf(bm, vec), ["qid"], [F.desc("rrf_score"), F.asc("id")], 5, "rank")
+    best = rt.ranked(rt.rrf(bm, vec), "rrf_score", "rank", 5)
     return best.join(docs.drop("embedding"), "id").select("qid", "rank", "id", "name", "kind", "path", F.round("rrf_score", 9).alias("score"))
 
 

@@ -71,7 +71,7 @@ def parse_hit(spark, d):
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000 RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events")
 def restart_window(spark, d):
     """How many events each user had in the minute up to each of them."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_seconds("ts")).rangeBetween(-60, 0)
+    w = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-60, 0)
     return views.table(spark, d, "events").select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("n"))
 
 
@@ -89,10 +89,10 @@ def user_sessions(spark, d):
     return e.agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).select("user_id", "start", "last", "n")
 
 
-@query("SELECT user_id, round(80 + 0.5 * (epoch_ms(max(ts)) - epoch_ms(min(ts))) / 1000.0, 6)::DOUBLE AS capacity FROM events GROUP BY user_id")
+@query("SELECT user_id, round(80::DOUBLE + 0.5::DOUBLE * ((epoch_ms(max(ts)) - epoch_ms(min(ts)))::DOUBLE / 1000::DOUBLE), 6) AS capacity FROM events GROUP BY user_id")
 def bucket_capacity(spark, d):
     """Calls that a token bucket would have let through over each user's time."""
-    e = views.table(spark, d, "events").groupBy("user_id").agg(((F.unix_millis(F.max("ts")) - F.unix_millis(F.min("ts"))) / 1000.0).alias("s"))
+    e = views.table(spark, d, "events").groupBy("user_id").agg(((F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))) / 1000.0).alias("s"))
     return e.select("user_id", F.round(tx.bucket_capacity(F.col("s")), 6).alias("capacity"))
 
 

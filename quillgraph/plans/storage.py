@@ -38,7 +38,7 @@ def global_unique_name(spark, d):
     return resolve.unique_names(views.symbols(spark, d))
 
 
-@query(f"WITH {S} SELECT path, arg_min(id, start_line * 1000000000 + id) AS from_id FROM symbols GROUP BY path")
+@query(f"WITH {S} SELECT path, arg_min(id, start_line::BIGINT * 1000000000 + id) AS from_id FROM symbols GROUP BY path")
 def first_in_file(spark, d):
     return resolve.first_symbols(views.symbols(spark, d))
 
@@ -90,7 +90,7 @@ def import_targets(spark, d):
 
 _REFS = "refs AS (SELECT * FROM (SELECT id AS ref, path, lead(name) OVER (PARTITION BY kind ORDER BY id) AS name, kind AS qualifier FROM symbols) WHERE name IS NOT NULL)"
 _HERE = "here AS (SELECT path, name, min(id) AS id FROM symbols GROUP BY ALL), uniq AS (SELECT name, min(id) AS id FROM symbols GROUP BY name HAVING count(*) = 1)"
-_TARGETS = "targets AS (SELECT path, target FROM (SELECT a.path, b.path AS target, count(*) AS n, row_number() OVER (PARTITION BY a.path ORDER BY count(*), b.path) AS r FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.id = e.to_id WHERE e.kind = 'Imports' AND a.path <> b.path GROUP BY ALL) WHERE r <= 2)"
+_TARGETS = "used AS (SELECT a.path, b.path AS target, count(*) AS n FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.id = e.to_id WHERE e.kind = 'Imports' AND a.path <> b.path GROUP BY ALL), targets AS (SELECT path, target FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY n, target) AS r FROM used) WHERE r <= 2)"
 _VIA = "via AS (SELECT path, name, id FROM (SELECT r.path, r.name, h.id, row_number() OVER (PARTITION BY r.path, r.name ORDER BY t.target, h.id) AS rn FROM (SELECT DISTINCT path, name FROM refs) r JOIN targets t ON t.path = r.path JOIN here h ON h.path = t.target AND h.name = r.name) WHERE rn = 1)"
 
 
