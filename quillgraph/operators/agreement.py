@@ -28,15 +28,15 @@ def spearman(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """rho over rows that have both; NaN under two rows or without variance."""
     p = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     r = average_ranks(average_ranks(p, a, "_ra"), b, "_rb")
-    got = r.agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"), F.stddev_pop("_ra").alias("sa"), F.stddev_pop("_rb").alias("sb"))
-    return got.select(F.when((F.col("n") < 2) | (F.col("sa") == 0) | (F.col("sb") == 0), F.lit(float("nan"))).otherwise(F.col("rho")).alias("rho"), "n")
+    got = r.agg(F.covar_pop("_ra", "_rb").alias("cov"), F.count(F.lit(1)).alias("n"), F.stddev_pop("_ra").alias("sa"), F.stddev_pop("_rb").alias("sb"))
+    return got.select(F.when((F.col("n") < 2) | (F.col("sa") == 0) | (F.col("sb") == 0), F.lit(float("nan"))).otherwise(F.col("cov") / (F.col("sa") * F.col("sb"))).alias("rho"), "n")
 
 
 def pairwise_counts(rows: DataFrame) -> DataFrame:
     """Verdicts (axis, raw_verdict, flipped) by axis and overall (axis null): a, b, tie, error as attributed; first and second as shown."""
     real = tx.real_verdict(F.col("raw_verdict"), F.col("flipped"))
     r = rows.withColumn("real", F.coalesce(real, F.lit("error")))
-    shown = F.coalesce(F.col("raw_verdict"), F.lit("")) 
+    shown = F.coalesce(F.col("raw_verdict"), F.lit(""))
     return r.rollup("axis").agg(
         F.count_if(F.col("real") == "A").alias("a"), F.count_if(F.col("real") == "B").alias("b"), F.count_if(F.col("real") == "tie").alias("tie"), F.count_if(F.col("real") == "error").alias("error"),
         F.count_if(shown == "A").alias("first_shown"), F.count_if(shown == "B").alias("second_shown"), F.count_if(~F.col("flipped")).alias("shown_first_a"), F.count_if(F.col("flipped")).alias("shown_first_b"),

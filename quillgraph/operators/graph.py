@@ -115,7 +115,9 @@ def ppr(edges: DataFrame, entries: DataFrame, damping: float = 0.85, rounds: int
     if mode == "task":
         return _ppr_numpy(edges, entries, damping, rounds)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    home = F.when(F.col("is_entry"), 1 / F.lit(entries.count()).cast("double")).otherwise(0.0)
+    if not (n_entries := entries.count()):
+        return entries.withColumn("score", F.lit(1.0))
+    home = F.when(F.col("is_entry"), F.lit(1.0 / n_entries)).otherwise(0.0)
     nodes = nodes_of(edges, entries).join(entries.withColumn("is_entry", F.lit(True)), "node", "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
     nodes = nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").withColumn("home", home)
     nodes = cut(nodes.where(F.lit(True)).select("node", "degree", "home"))

@@ -147,7 +147,7 @@ def build_edges(symbols: DataFrame, captures: DataFrame, use_aliases: bool = Fal
     target = by_file_and_name(symbols).select(F.col("path").alias("target_file"), "name", F.col("id").alias("to_id"))
     import_tries = named.join(target, ["target_file", "name"], "left").select(F.lit("Imports").alias("kind"), "from_id", "to_id", F.when(F.col("to_id").isNotNull(), F.lit(1.0)).alias("confidence"), F.lit(0).alias("pass"), "path", "byte", F.lit(0).alias("plain"))
     lost_namespaces = imports.where("variant = 2 AND target_file IS NULL").select(F.lit("Imports").alias("kind"), F.lit(None).cast("long").alias("from_id"), F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("pass"), "path", "byte", F.lit(0).alias("plain"))
-    import_edges = import_tries.where("to_id IS NOT NULL")
+    import_edges = import_tries.where("to_id IS NOT NULL").select("from_id", "to_id", "kind", "confidence")
     # a member call is tried twice, once with its object as a namespace and once by name alone
     found = enclosing(captures.where("role <> 'import'"), symbols)
     twice = found.where("qualifier IS NOT NULL").withColumn("qualifier", F.lit(None).cast("string"))

@@ -40,7 +40,7 @@ class Store:
         snap = self.live()
         if snap is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{snap}/{name}")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{snap}/{name}").select(*TABLES[name].names)
 
     def write(self, **tables: DataFrame) -> str:
         """Write a snapshot of the given tables (the others are carried over), then make it live.  Edges are partitioned by kind."""

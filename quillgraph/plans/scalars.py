@@ -89,10 +89,10 @@ def user_sessions(spark, d):
     return e.agg(F.min("ts").alias("start"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).select("user_id", "start", "last", "n")
 
 
-@query("SELECT user_id, round(80::DOUBLE + 0.5::DOUBLE * ((epoch_ms(max(ts)) - epoch_ms(min(ts)))::DOUBLE / 1000::DOUBLE), 6) AS capacity FROM events GROUP BY user_id")
+@query("SELECT user_id, round(80::DOUBLE + 0.5::DOUBLE * ((epoch_us(max(ts)) - epoch_us(min(ts)))::DOUBLE / 1000000::DOUBLE), 6) AS capacity FROM events GROUP BY user_id")
 def bucket_capacity(spark, d):
     """Calls that a token bucket would have let through over each user's time."""
-    e = views.table(spark, d, "events").groupBy("user_id").agg(((F.unix_millis(F.max(F.col("ts").cast("timestamp"))) - F.unix_millis(F.min(F.col("ts").cast("timestamp")))) / 1000.0).alias("s"))
+    e = views.table(spark, d, "events").groupBy("user_id").agg(((F.unix_micros(F.max(F.col("ts").cast("timestamp"))) - F.unix_micros(F.min(F.col("ts").cast("timestamp")))) / 1000000.0).alias("s"))
     return e.select("user_id", F.round(tx.bucket_capacity(F.col("s")), 6).alias("capacity"))
 
 

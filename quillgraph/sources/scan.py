@@ -146,6 +146,7 @@ class _Script:
             elif kind == "sign" and s in _CLOSE and stack:
                 self.pair[stack.pop()] = k
         self.out: list[dict] = []
+        self.heads: set[int] = set()  # names that declare a member, not call one
 
     def at(self, k: int) -> str:
         return self.t[k][1] if 0 <= k < len(self.t) else ""
@@ -224,7 +225,7 @@ class _Script:
                 k += 1
         return k
 
-    def heritage(self, k: int, end: int, interface: bool) -> None:
+    def heritage(self, k: int, end: int) -> None:
         k = self.type_arguments(k)
         while k < end:
             if self.at(k) == "extends":
@@ -279,6 +280,7 @@ class _Script:
             elif s in {"*", "#"}:
                 k += 1
             elif self.is_word(k) and (a := self.type_arguments(k + 1)) < last and self.at(a) == "(":
+                self.heads.add(k)
                 body = self.method_body(self.close(a) + 1, last)
                 if body is not None:
                     self.symbol("method_definition", self.at(k), begin, self.close(body))
@@ -323,14 +325,15 @@ class _Script:
                 body = self.body(self.type_arguments(k + 2))
                 if body is not None:
                     self.symbol("class_declaration", following, k, self.close(body))
-                    self.heritage(k + 2, body, False)
+                    self.heritage(k + 2, body)
                     self.members(body, self.close(body))
             elif s == "class" and (body := self.body(k + 1)) is not None:
-                self.heritage(k + 1, body, False)
+                self.heritage(k + 1, body)
                 self.members(body, self.close(body))
             elif s == "interface" and self.is_word(k + 1) and (body := self.body(self.type_arguments(k + 2))) is not None:
                 self.symbol("interface_declaration", following, k, self.close(body))
-                self.heritage(k + 2, body, True)
+                self.heritage(k + 2, body)
+                self.heads.update(range(body + 1, self.close(body)))
             elif s == "type" and self.is_word(k + 1) and self.at(self.type_arguments(k + 2)) == "=":
                 self.symbol("type_alias_declaration", following, k, self.statement_end(self.type_arguments(k + 2) + 1))
             elif s == "enum" and self.is_word(k + 1) and self.at(k + 2) == "{":
@@ -364,12 +367,10 @@ class _Script:
         member = before in {".", "?."}
         head = k - 2 if member else k
         made = self.at(head - 1) == "new"
-        if self.at(a) != "(" and not made:
+        if k in self.heads or self.at(a) != "(" and (not made or self.at(a) in {".", "?."}):
             return
         if not member and (self.at(k) in _NOT_METHODS or before == "function" or self.at(k - 2) == "function" and before == "*"):
             return
-        if not member and self.at(a) == "(" and not made and (m := self.close(a) + 1) < len(self.t) and self.at(m) == "{" and before in {"{", "}", ";", "async", "get", "set", "static", "public", "private", "protected"}:
-            return  # a method's own head
         plain = member and self.is_word(head) and self.at(head - 1) not in {".", "?."} and self.at(head) not in {"this", "super"}
         self.capture("call", k, qualifier=self.at(head) if plain else None)
 

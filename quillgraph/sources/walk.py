@@ -72,23 +72,40 @@ def not_ignored(path: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def read_tree(spark: SparkSession, root: str, hidden: bool = False, gitignore: bool = True, glob: str | None = "*.{ts,tsx,py}") -> DataFrame:
+def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """(folder, line) of every .gitignore of a tree, outermost first.  Spark's readers pass over hidden files, so the file system is asked itself."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    top = fs.makeQualified(base).toString().rstrip("/")
+    found, listed = [], fs.listFiles(base, True)
+    while listed.hasNext():
+        p = listed.next().getPath()
+        if p.getName() == ".gitignore":
+            stream = fs.open(p)
+            try:
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            finally:
+                stream.close()
+            folder = p.getParent().toString()[len(top) :].strip("/")
+            found.append((folder.count("/") + bool(folder), folder, text))
+    return [(folder, line) for _, folder, text in sorted(found) for line in text.splitlines()]
+
+
+def read_tree(spark: SparkSession, root: str, gitignore: bool = True, glob: str | None = "*.{ts,tsx,py}") -> DataFrame:
     """path (relative, forward slashes) and content of the tree's files that are valid UTF-8.
 
-    Hidden files and what .gitignore excludes stay out unless asked for.  Rules are read first; they are few and small.
+    Hidden files stay out, as does what .gitignore excludes unless asked for.
     """
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    relative = lambda df: df.withColumn("path", F.substring(F.url_decode(F.replace(F.regexp_replace("path", "^file:/+", "file:/"), F.lit("+"), F.lit("%2B"))), len(re.sub("^file:/+", "file:/", base)) + 2, 1 << 30))
-    rows = relative((files.option("pathGlobFilter", glob) if glob else files).load(root))
-    if not hidden:
-        rows = rows.where(~F.exists(F.split("path", "/"), lambda c: c.startswith(".")))
+    rows = (files.option("pathGlobFilter", glob) if glob else files).load(root)
+    whole = F.regexp_replace(F.url_decode(F.replace(F.col("path"), F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+    rows = rows.withColumn("path", F.substring(whole, len(re.sub("^file:/+", "file:/", base)) + 2, 1 << 30))
+    rows = rows.where(~F.exists(F.split("path", "/"), lambda c: c.startswith(".")))
     if gitignore:
-        found = relative(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", ".gitignore").load(root))
-        listed = found.select(tx.dirname(F.col("path")).alias("folder"), F.col("content").cast("string").alias("t")).collect()
-        rules = [(r["folder"], line) for r in sorted(listed, key=lambda r: (r["folder"].count("/") if r["folder"] else -1, r["folder"])) for line in r["t"].splitlines()]
-        rows = rows.where(not_ignored(F.col("path"), rules))
+        rows = rows.where(not_ignored(F.col("path"), ignore_rules(spark, root)))
     text = F.col("content").cast("string")
     return rows.where(F.is_valid_utf8(text)).select("path", text.alias("content"))
 
