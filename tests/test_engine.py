@@ -21,7 +21,7 @@ def test_operations(spark, tree, tmp_path):
     e = Engine(spark, str(tmp_path / "store"))
     assert e.index_repo(str(tree)) == {"symbols_indexed": 5, "edges_built": 3}
     assert e.query("parse tree", 1).first()["name"] == "parse_tree"
-    assert [r["name"] for r in e.list_callers("foo").collect()][:2] == ["caller", "walk"]
+    assert [r["name"] for r in e.list_callers("foo").collect()][:2] == ["caller", "Walker"]
     assert e.run("query_graph", text="who uses caller_x or caller").state == "completed"
     walker = e.symbols.where("name = 'Walker'").first()["id"]
     assert [r["name"] for r in e.children(walker).collect()] == ["walk"]
