@@ -53,7 +53,7 @@ def measure(docs: DataFrame, text: str, group_bytes: int = 4 << 20) -> Plan:
     got = docs.agg(F.sum(F.octet_length(F.col(text))).alias("b"), F.count(F.lit(1)).alias("n")).first()
     total, rows = int(got["b"] or 0), int(got["n"])
     width = shuffle_width(docs)
-    return Plan(max(2 * width, total // group_bytes + 1), max(2 * width, total // (8 << 20) + 1), total, rows)
+    return Plan(max(width, total // group_bytes + 1), max(width, total // (8 << 20) + 1), total, rows)
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
