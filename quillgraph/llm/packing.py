@@ -7,8 +7,9 @@ the open bin that satisfies all three and scores best, by the weighted norm of w
 (``rule="norm"``) or by the weighted dot product of the piece and what is left (``rule="dot"``).
 
 Pieces are placed longest first, in groups of about ``GROUP_PIECES`` dealt by hash, whose number
-follows a count of the pieces; each group leaves about one bin unfilled.  Only ids and lengths are
-shuffled.  Tokenising keeps a bounded table of the tokens of white-space separated chunks: the
+follows a count of the pieces.  What the groups leave in bins under ``FULL`` is dealt anew into
+fewer groups until one is left, so the number of groups costs no sequences.  Only ids and lengths
+are shuffled.  Tokenising keeps a bounded table of the tokens of white-space separated chunks: the
 vocabulary's own rules never join signs across white space, so chunks can be encoded alone.
 
 Edge cases: null and empty texts are one end id; rows with a null id are left out; rows that share
@@ -28,7 +29,9 @@ from . import corpus, state
 from . import textcore as tc
 
 END, LENGTH = 1, 4096
-GROUP_PIECES = 16_000
+GROUP_PIECES = 4_000
+#: A bin filled to this share stays as it is; the pieces of others are placed again with those of other groups.
+FULL = 0.98
 #: Chunks whose tokens a Python worker remembers; others are encoded again when they come.
 CACHE = 1_000_000
 _loaded: dict[str, Chunks] = {}
@@ -203,22 +206,41 @@ def best_fit(size: np.ndarray, capacity: tuple[float, float, float], weights: tu
     return where, offset
 
 
+def _placer(first: int, names: list[str], capacity, weights, rule: str):
+    """What places one group; its sequences are numbered from its own number, counted from `first`."""
+
+    def run(table: pa.Table) -> pa.Table:
+        g = first + table["dealt_to"][0].as_py()
+        table = table.select(names).sort_by([("length", "descending"), (names[0], "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+        size = table["length"].to_numpy()
+        where, offset = best_fit(size, capacity, weights, rule)
+        fill = np.bincount(where, size).astype(np.int64)[where]
+        return table.append_column("sequence_id", pa.array((np.int64(g) << 32) + where)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill))
+
+    return run
+
+
 def place(pieces: DataFrame, length: int = LENGTH, most_documents: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm") -> DataFrame:
     """The pieces with sequence_id and offset.  The caps on documents and cost bind only where given below what `length` implies."""
     capacity = (float(length), float(most_documents or length), float(most_cost or length * length))
-    groups = pieces.count() // GROUP_PIECES + 1
     names = pieces.columns
     key = names[0]
-    dealt = pieces.withColumn("dealt_to", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-
-    def run(table: pa.Table) -> pa.Table:
-        g = table["dealt_to"][0].as_py()
-        table = table.select(names).sort_by([("length", "descending"), (key, "ascending"), ("piece", "ascending")])
-        where, offset = best_fit(table["length"].to_numpy(), capacity, weights, rule)
-        return table.append_column("sequence_id", pa.array((np.int64(g) << 32) + where)).append_column("offset", pa.array(offset))
-
-    shape = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes)
-    return dealt.groupBy("dealt_to").applyInArrow(run, f"{shape}, sequence_id long, offset long")
+    shape = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, fill long"
+    left, count, first, done = pieces, pieces.count(), 0, None
+    while True:
+        groups = count // GROUP_PIECES + 1
+
+        dealt = left.withColumn("dealt_to", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+        placed = dealt.groupBy("dealt_to").applyInArrow(_placer(first, names, capacity, weights, rule), shape)
+        first += groups
+        if groups == 1:
+            return (placed if done is None else done.unionByName(placed)).drop("fill")
+        placed = state.cut(placed)
+        loose = F.col("fill") < FULL * length
+        full = placed.where(~loose)
+        done = full if done is None else done.unionByName(full)
+        left = placed.where(loose).select(names)
+        count = min(left.count(), (groups - 1) * GROUP_PIECES // 2)  # at most half as many groups each time
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, with_ids: bool = False, **limits) -> DataFrame:
