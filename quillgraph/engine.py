@@ -20,6 +20,10 @@ QUERY_PREFIX = ""
 ALIASES = {"repo_path": "repo", "q": "text", "k": "top", "symbol_id": "id"}
 
 
+class VersionMismatch(RuntimeError):
+    """The stored vectors come from another model, dimension or query prefix; the tree must be indexed anew."""
+
+
 class IndexFailed(RuntimeError):
     """Too many symbols could not be embedded; what was stored before stays."""
 
@@ -96,6 +100,7 @@ class Engine:
         scripts = scan.captures_of(found).join(files.where("lang = 'typescript'").select("path").distinct(), "path", "left_semi")
         edges, aliases, attempts = resolve.build_edges(rows, scripts, use_aliases)
         self.store.replace_unless_empty(rows, edges, aliases)
+        self.store.note_version(self.version())
         built = resolve.edge_stats(attempts).agg(F.coalesce(F.sum("resolved"), F.lit(0)).alias("n")).first()["n"]
         return {"symbols_indexed": n["n"] - n["bad"], "edges_built": built}
 
@@ -105,6 +110,9 @@ class Engine:
 
     def query_many(self, questions: list[tuple[str, str]], top: int = 5, alpha: float = retrieval.ALPHA, rerank=None) -> DataFrame:
         """Many questions in one plan: qid, rank and the hit."""
+        stored = self.store.version()
+        if stored and stored[1] != self.version():
+            raise VersionMismatch(f"indexed with {stored[1]}, asked with {self.version()}")
         q = self.spark.createDataFrame(questions, "qid string, query string")
         q = q.withColumn("embedding", self.embed(F.concat(F.lit(self.query_prefix), F.col("query"))))
         return retrieval.hit_view(retrieval.hybrid(self.symbols, q, top, alpha, rerank))

@@ -71,6 +71,13 @@ def sweep(scored: DataFrame, slices: list[str]) -> DataFrame:
     return m.withColumn("is_best", F.row_number().over(w) == 1)
 
 
+def attach_snippets(hits: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Hits (`path:name` in column hit) with the snippet of the symbol they name, slashes aside; null if there is none."""
+    h = hits.withColumn("_h", tx.parse_hit(F.col("hit"))).withColumn("_path", tx.norm_slashes(F.col("_h.path"))).withColumn("_name", F.col("_h.name"))
+    s = symbols.groupBy(tx.norm_slashes(F.col("path")).alias("_path"), F.col("name").alias("_name")).agg(F.min_by("snippet", "id").alias("snippet"))
+    return h.join(s, ["_path", "_name"], "left").drop("_h", "_path", "_name")
+
+
 def overlap_rate(base: DataFrame, other: DataFrame, least: int = 3) -> DataFrame:
     """rate, n: the share of queries (qid, top array) whose lists have `least` hits in common; negatives are left out beforehand."""
     both = base.join(other.withColumnRenamed("top", "other"), "qid")

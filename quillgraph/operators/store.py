@@ -54,6 +54,18 @@ class Store:
         self.spark.createDataFrame([(seq, snap)], "seq long, name string").coalesce(1).write.mode("append").json(f"{self.path}/live")
         return snap
 
+    def note_version(self, version: str) -> None:
+        """Record which embedding the live vectors come from; the last note counts."""
+        seen = self.version()
+        seq = (seen[0] if seen else 0) + 1
+        self.spark.createDataFrame([(seq, version)], "seq long, version string").coalesce(1).write.mode("append").json(f"{self.path}/version")
+
+    def version(self) -> tuple[int, str] | None:
+        if not self._exists(f"{self.path}/version"):
+            return None
+        row = self.spark.read.schema("seq long, version string").json(f"{self.path}/version").orderBy(F.desc("seq")).first()
+        return row and (row["seq"], row["version"])
+
     def replace_unless_empty(self, symbols: DataFrame, edges: DataFrame, aliases: DataFrame) -> bool:
         """A new snapshot, unless there is no symbol to store; whether it was made."""
         if symbols.isEmpty():

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quillgraph.engine import Engine, IndexFailed, parse_kinds
+from quillgraph.engine import Engine, IndexFailed, VersionMismatch, parse_kinds
 from quillgraph.functions import text as tx
 from quillgraph.streaming import incremental
 
@@ -36,6 +36,8 @@ def test_operations(spark, tree, tmp_path):
     with pytest.raises(IndexFailed):
         broken.index_repo(str(tree))
     assert e.symbols.count() == 5
+    with pytest.raises(VersionMismatch):
+        Engine(spark, str(tmp_path / "store"), dim=64).query("x")
     with pytest.warns(UserWarning, match="unknown edge kind"):
         assert parse_kinds("Calls, Nope") == ["Calls"]
 

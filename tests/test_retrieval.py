@@ -59,6 +59,12 @@ def test_evaluation(spark):
     assert means == {1: 0.25, 2: 0.375, None: 0.3125}
 
 
+def test_snippets(spark):
+    h = spark.createDataFrame([("a\\b.ts:f",), ("zz:g",)], "hit string")
+    s = spark.createDataFrame([(1, "a/b.ts", "f", "body")], "id long, path string, name string, snippet string")
+    assert {r["hit"]: r["snippet"] for r in evaluate.attach_snippets(h, s).collect()} == {"a\\b.ts:f": "body", "zz:g": None}
+
+
 def test_percentiles_and_latency(spark):
     v = spark.createDataFrame([(float(x),) for x in range(10)], "v double")
     assert tuple(evaluate.percentiles(v, "v").first()) == (1.0, 5.0, 9.0)
