@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
+#: Scores under which a query that should find nothing counts as right.
 NEGATIVE_FUSED, NEGATIVE_RERANKED = 0.012, 0.30
 
 

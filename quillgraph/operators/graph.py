@@ -18,7 +18,7 @@ from .state import cut
 SMALL_EDGES = 2_000_000
 #: Up to so many nodes reachability runs in one task as bit sets (n * n / 8 bytes: 50 MB).
 SMALL_NODES = 20_000
-#: kinds and direction of the question presets.
+#: Kinds and direction of the question presets.
 PRESETS = {
     "callers": (("Calls",), "in"),
     "callees": (("Calls",), "out"),

@@ -15,12 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from . import ranking
 
+#: Confidence of the resolver's steps.
 SAME_FILE, IMPORTED, UNIQUE = 1.0, 0.9, 0.7
-#: Suffixes that an import of a TypeScript file is tried with, in this order.
+#: Suffixes that an import of a TypeScript file is tried with, in this order.
 SUFFIXES = ("", ".ts", ".tsx", "/index.ts", "/index.tsx")
-#: Extensions that an import is tried with in a JavaScript or TypeScript tree, in this order.
+#: Extensions that an import is tried with in a JavaScript or TypeScript tree, in this order.
 EXTENSIONS = (".ts", ".tsx", ".js", ".mjs", ".cjs", ".cts", ".mts", ".jsx")
-#: Source extensions that stand behind an import of a JavaScript file.
+#: Source extensions that stand behind an import of a JavaScript file.
 TWINS = {".js": (".ts", ".tsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cjs"), ".jsx": (".tsx", ".jsx")}
 ROLE_KIND = {"call": "Calls", "implements": "Implements", "extends": "Extends", "import": "Imports"}
 

@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..functions import vector as vx
 from . import ranking
 
-#: Columns in the order that fixes their weights.
+#: Columns in the order that fixes their weights, and the scores' constants.
 WEIGHTS = {"name": 10.0, "snippet": 1.0, "kind": 1.0, "search_blob": 5.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 POOL, RRF_C, ALPHA = 50, 60, 0.6
