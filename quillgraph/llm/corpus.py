@@ -155,6 +155,13 @@ def read_notes(table: pa.Table) -> dict[int, list[bytes]]:
 COPIES = -1
 
 
+def salted_join(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str = "inner", salts: int = 32) -> DataFrame:
+    """Rows joined to one row per key, each key's rows dealt to `salts` places by the column `by`: one key may hold any share of the rows."""
+    left = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    right = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def copies(docs: DataFrame, key: str, text: str, groups: int) -> DataFrame:
     """NOTE rows with the ids of documents whose whole text some smaller id has too.
 

@@ -1,13 +1,14 @@
 """Near-duplicate groups (operator 2): HyperMinHash sketches, banding, exact confirmation.
 
 A document's set is its distinct shingles of five words (a shorter one's whole sequence).  The
-sketch has 128 registers; each keeps, of the smallest hash dealt to it, the count of leading
-zeros and 10 mantissa bits.  An empty register is a value like any other, so each register of two
+sketch has 256 registers; each keeps, of the smallest hash dealt to it, the count of leading
+zeros and 20 mantissa bits.  An empty register is a value like any other, so each register of two
 documents agrees with at least their Jaccard similarity as probability.
 
 1. Documents with equal sets are one class; only its smallest id goes on.
-2. Bands of 4 registers are keys (bands with no shingle at all are not).  Two sets at 0.75 share
-   none of 32 bands with probability 5e-6 at most.
+2. Bands of 4 registers are keys (bands with no shingle at all are not): the first 32 of sketches
+   with ``LARGE`` registers in use or more, all 64 of smaller ones, whose bands are mostly empty.  Two sets
+   at 0.75 share none of 32 bands with probability 5e-6 at most.
 3. Round one: each class is paired with one hub, the smallest id of the key it shares most often.
    Pairs whose collision-corrected estimate is out of reach are dropped; the rest are confirmed
    on the full sets, dealt by hub and salt so that no hub gathers more than a bounded group.
@@ -30,13 +31,16 @@ from pyspark.sql import functions as F
 from . import corpus, state
 from . import textcore as tc
 
-REGISTERS, MANTISSA, ROWS, SHINGLE = 128, 10, 4, 5
+REGISTERS, MANTISSA, ROWS, SHINGLE = 256, 20, 4, 5
 BANDS = REGISTERS // ROWS
+LARGE = 100
 _HASH_BITS = 52
 #: An estimate further below the threshold than this many standard errors rules a pair out.
 SIGMAS = 4.0
 #: Pairs confirmed with one hub in one task; classes of one key compared in one task.
 SPOKES, BLOCK = 256, 512
+#: Rows of classes that one task compares key by key, about.
+SLOT = 20_000
 #: Ids of a side that is broadcast: 16 bytes each.
 BROADCAST_ROWS = 100_000
 
@@ -53,7 +57,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, size: int = SHINGLE) -> list[
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of 16-bit registers for each set: 0 if empty, else 1 + (leading zeros, mantissa)."""
+    """A row of 32-bit registers for each set: 0 if empty, else 1 + (leading zeros, mantissa)."""
     sizes = [len(s) for s in sets]
     least = np.full(len(sets) * REGISTERS, np.uint64(2**64 - 1))
     if sum(sizes):
@@ -65,8 +69,8 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     bits = np.frexp(v.astype(np.float64))[1]  # exact: 52 bits fit a double
     zeros = (_HASH_BITS - bits).astype(np.uint64)
     mantissa = ((v << zeros) >> np.uint64(_HASH_BITS - 1 - MANTISSA)) & np.uint64((1 << MANTISSA) - 1)
-    out = np.zeros(len(least), np.uint16)
-    out[used] = (1 + (zeros << np.uint64(MANTISSA)) + mantissa).astype(np.uint16)
+    out = np.zeros(len(least), np.uint32)
+    out[used] = (1 + (zeros << np.uint64(MANTISSA)) + mantissa).astype(np.uint32)
     return out.reshape(len(sets), REGISTERS)
 
 
@@ -89,10 +93,19 @@ def estimate(x: np.ndarray, y: np.ndarray, n1: np.ndarray, n2: np.ndarray) -> tu
 
 
 def possible(x, y, n1, n2, threshold: float) -> np.ndarray:
-    """False where sizes or sketches rule a link out."""
-    est, live = estimate(x, y, n1, n2)
-    slack = SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(live, 1))
-    return (est >= threshold - slack) & (np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9)
+    """False where sizes or sketches rule a link out.
+
+    A sketch is a sample without replacement of the union, which the threshold's own has (n1 + n2) /
+    (1 + threshold) shingles; the more of it the registers hold, the less the estimate can be off.
+    """
+    ok = np.minimum(n1, n2) >= threshold * np.maximum(n1, n2) - 1e-9
+    at = np.flatnonzero(ok)
+    n1, n2 = n1[at], n2[at]
+    est, live = estimate(x[at], y[at], n1, n2)
+    union = np.maximum((n1 + n2) / (1 + threshold), live + 1)
+    slack = SIGMAS * np.sqrt(threshold * (1 - threshold) / np.maximum(live, 1) * (1 - live / union)) + 1 / np.maximum(live, 1)
+    ok[at] = est >= threshold - slack
+    return ok
 
 
 def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -113,7 +126,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, REGISTERS)
 
 
 def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
@@ -191,43 +204,67 @@ def components(links: DataFrame) -> DataFrame:
 def _across(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) that share a key, lie in different components and are not ruled out; each pair from its first key only."""
     placed = keyed.select("key", "id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi").select("key", "c", blocks.alias("blocks"))
+    split = state.cut(split)
+    slots = int(split.agg(F.sum(F.col("c") * F.col("blocks"))).first()[0] or 0) // SLOT + 1
     rows = (
-        placed.join(split.select("key", blocks.alias("blocks")), "key")
-        .withColumn("mine", mine)
+        placed.join(split, "key")
+        .withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .join(nodes.select("id", "n_shingles", "sketch"), "id")
         .select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "root", "n_shingles", "sketch")
+        .withColumn("slot", F.pmod(F.xxhash64("key", "i", "j"), F.lit(slots)))
     )
 
     def compare(table: pa.Table) -> pa.Table:
-        ids, root, n, mine = (table[c].to_numpy() for c in ("id", "root", "n_shingles", "mine"))
-        s, key = _rows(table["sketch"]), table["key"][0].as_py()
-        i, j = table["i"][0].as_py(), table["j"][0].as_py()
-        left, right = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
+        ids, root, n, mine, i, j, key = (table[c].to_numpy() for c in ("id", "root", "n_shingles", "mine", "i", "j", "key"))
+        s = _rows(table["sketch"])
         keys = band_keys(s)
-        out_a, out_b = [], []
-        for x in left:
-            y = right[(root[right] != root[x]) & (ids[right] < ids[x] if i == j else ids[right] != ids[x])]
-            if len(y):
-                y = y[possible(np.broadcast_to(s[x], (len(y), REGISTERS)), s[y], np.full(len(y), n[x]), n[y], threshold)]
-            if len(y):
-                agree = (keys[y] == keys[x]) & (keys[x] != 0)
-                y = y[keys[x][agree.argmax(axis=1)] == key]  # the pair's first key in common
-                out_a.append(np.maximum(ids[y], ids[x]))
-                out_b.append(np.minimum(ids[y], ids[x]))
-        cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64))
-        return pa.table({"a": cat(out_a), "b": cat(out_b)})
-
-    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+        order = np.lexsort((ids, mine, j, i, key))
+        name = np.stack([key[order], i[order], j[order]])
+        cut = np.flatnonzero(np.concatenate(([True], (name[:, 1:] != name[:, :-1]).any(axis=0))))
+        made = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)]}
+
+        def weigh(x: np.ndarray, y: np.ndarray) -> None:
+            for lo in range(0, len(x), 1 << 16):
+                p, q = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
+                apart = root[p] != root[q]
+                p, q = p[apart], q[apart]
+                ok = possible(s[p], s[q], n[p], n[q], threshold)
+                p, q = p[ok], q[ok]
+                first = ((keys[p] == keys[q]) & (keys[p] != 0)).argmax(axis=1)
+                ok = keys[p, first] == key[p]  # the pair's first key in common
+                made["a"].append(np.maximum(ids[p], ids[q])[ok])
+                made["b"].append(np.minimum(ids[p], ids[q])[ok])
+
+        wait_x, wait_y, waiting = [], [], 0
+        for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=True):
+            rows = order[a:b]
+            if i[rows[0]] == j[rows[0]]:
+                x, y = np.triu_indices(b - a, 1)
+                x, y = rows[x], rows[y]
+            else:
+                half = int((mine[rows] == i[rows[0]]).sum())
+                x, y = np.repeat(rows[:half], b - a - half), np.tile(rows[half:], half)
+            wait_x.append(x)
+            wait_y.append(y)
+            waiting += len(x)
+            if waiting > 1 << 16 or b == len(order):
+                weigh(np.concatenate(wait_x), np.concatenate(wait_y))
+                wait_x, wait_y, waiting = [], [], 0
+        return pa.table({k: pa.array(np.concatenate(v)) for k, v in made.items()})
+
+    return rows.groupBy("slot").applyInArrow(compare, "a long, b long")
 
 
 def band_keys(s: np.ndarray) -> np.ndarray:
-    """A key for each row and band; 0 where the band has no shingle."""
-    raw = np.ascontiguousarray(s).view(np.uint64)
-    return np.where(raw == 0, np.uint64(0), tc.mix(raw ^ (np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))).view(np.int64)
+    """A key for each row and band; 0 where the band has no shingle or the set is too large for the band."""
+    raw = np.ascontiguousarray(s).view(np.uint64).reshape(len(s), BANDS, 2)
+    used = (raw != 0).any(axis=2)
+    used[(s > 0).sum(axis=1) >= LARGE, BANDS // 2 :] = False
+    name = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return np.where(used, tc.mix(raw[:, :, 0] ^ tc.mix(raw[:, :, 1] + name)) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", per_cent: int = 75) -> DataFrame:
@@ -235,12 +272,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     docs = corpus.usable(docs.select(key, text), key)
     threshold = per_cent / 100
     s = state.cut(sketches(docs, key, text))
-    first = s.where("n_shingles > 0").groupBy("mark").agg(F.min("id").alias("rep"))
-    nodes = state.cut(s.join(first, "mark").where("id = rep").select("id", "n_shingles", "sketch").dropDuplicates(["id"]))
+    first = s.where("n_shingles > 0").groupBy("mark").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # of rows that share an id and lead a class each, one is the node
+    lead = first.groupBy(F.col("rep").alias("id")).agg(F.min("mark").alias("mark"))
+    nodes = state.cut(s.join(lead, ["id", "mark"], "left_semi").select("id", "n_shingles", "sketch"))
 
     def bands(batches):
         for batch in batches:
-            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, REGISTERS)
             k = band_keys(s)
             row, col = np.nonzero(k)
             yield pa.RecordBatch.from_arrays([pa.array(k[row, col]), batch.column(0).take(pa.array(row))], ["key", "id"])
@@ -255,8 +294,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     more = state.cut(_across(keyed, nodes, roots, threshold).distinct())
     if not more.isEmpty():
         roots = components(links.unionByName(confirm(docs, more, key, text, per_cent)))
-    placed = s.select("id", "n_shingles", "mark").join(first, "mark", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    group = F.coalesce("root", "rep", "id")
+    # classes of several rows look up their root once, single rows their own
+    classes = first.where("copies > 1").select("mark", "rep").join(roots.select(F.col("id").alias("rep"), F.col("root").alias("class_root")), "rep", "left")
+    placed = corpus.salted_join(s.select("id", "n_shingles", "mark"), classes, "mark", "id", "left").join(roots, "id", "left")
+    group = F.coalesce("class_root", "rep", "root", "id")
     return placed.select(F.col("id").alias(key), "n_shingles", group.alias("component_id"), (F.col("id") == group).alias("kept"))
 
 
