@@ -170,12 +170,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         texts = [doc.text(i) for i in range(len(doc.ids))]
         words = [t.split() for t in texts]
         woff = np.concatenate(([0], np.cumsum([len(w) for w in words])))
-        cover = np.zeros(int(woff[-1]) + window + 1, np.int32)
+        begins = np.zeros(int(woff[-1]), bool)
         for note in told.get(GONE, []):
-            start = np.cumsum(corpus.unsqueeze(note, 1)[0].astype(np.int64))
-            cover += np.bincount(start, minlength=len(cover)).astype(np.int32)
-            cover -= np.bincount(start + window, minlength=len(cover)).astype(np.int32)
-        kept = np.cumsum(cover)[: woff[-1]] <= 0
+            begins[np.cumsum(corpus.unsqueeze(note, 1)[0].astype(np.int64))] = True
+        kept = ~corpus.covered(begins, window)
         for i in np.flatnonzero(skip & (np.diff(woff) >= window)):
             kept[woff[i] : woff[i + 1]] = False
         n_kept = np.concatenate(([0], np.cumsum(kept)))[woff]
