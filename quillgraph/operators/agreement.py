@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ranking
 
 
 def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,8 +21,8 @@ def kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     """Adds the rank of each value, ties sharing the mean of theirs; ranks are made over distinct values and joined back."""
     c = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(c.select(column, (before + (F.col("_c") + 1) / 2).alias(name)), column, "left")
+    upto = ranking.running_total(c, [column], "_c", "_upto")
+    return df.join(upto.select(column, (F.col("_upto") - F.col("_c") + (F.col("_c") + 1) / 2).alias(name)), column, "left")
 
 
 def spearman(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

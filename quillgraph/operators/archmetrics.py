@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from . import graph
+from . import graph, ranking
 
 
 def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -23,9 +23,8 @@ def gini(values: DataFrame, column: str) -> DataFrame:
     Equal values are counted together first, so the running rank is over distinct values only.
     """
     v = values.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    below = F.coalesce(F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranks = F.col("c") * F.col("below") + F.col("c") * (F.col("c") + 1) / 2
-    s = v.withColumn("below", below).agg(F.sum(F.col("v") * ranks).alias("iv"), F.sum(F.col("v") * F.col("c")).alias("sv"), F.sum("c").alias("n"))
+    s = ranking.running_total(v, ["v"], "c", "upto").withColumn("below", F.col("upto") - F.col("c")).agg(F.sum(F.col("v") * ranks).alias("iv"), F.sum(F.col("v") * F.col("c")).alias("sv"), F.sum("c").alias("n"))
     value = F.when((F.coalesce("n", F.lit(0)) == 0) | (F.col("sv") == 0), 0.0).otherwise(2 * F.col("iv") / (F.col("n") * F.col("sv")) - (F.col("n") + 1) / F.col("n"))
     return s.select(value.cast("double").alias("gini"))
 
@@ -45,9 +44,8 @@ def newman_q(edges: DataFrame, module: Column | None = None) -> DataFrame:
 def upper_median(values: DataFrame, column: str) -> DataFrame:
     """median: element n // 2 of the ascending values, 0 if there are none; by counts of distinct values."""
     v = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = F.sum("c").over(Window.orderBy("v"))
     total = v.agg(F.sum("c").alias("n"))
-    got = v.withColumn("upto", upto).crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("m"))
+    got = ranking.running_total(v, ["v"], "c", "upto").crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("m"))
     return got.select(F.coalesce("m", F.lit(0)).alias("median"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from . import ranking
 
 #: Scores under which a query that should find nothing counts as right.
 NEGATIVE_FUSED, NEGATIVE_RERANKED = 0.012, 0.30
@@ -92,7 +93,7 @@ def at_index(values: DataFrame, column: str, index: dict[str, Column]) -> DataFr
     Places are found on counts of distinct values, so nothing is gathered in one array.
     """
     v = values.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    upto = v.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
+    upto = ranking.running_total(v, ["v"], "c", "upto")
     total = v.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
     return upto.crossJoin(F.broadcast(total)).agg(*[F.min(F.when(F.col("upto") > i, F.col("v"))).alias(name) for name, i in index.items()])
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import cut
+
 
 def rank_within(df: DataFrame, keys: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """1-based position of each row within its keys; ties must be broken by `order`."""
@@ -25,21 +27,25 @@ def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
 def number_rows(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     """Consecutive ids from 1 in the given order, the same on every run.
 
-    Rows are ranged by the order and numbered within partitions; only the partition sizes, one number each, meet on the driver.
+    Rows are ranged by the order and numbered within ranges; only the ranges' sizes, one number each, meet on the driver.
+    """
+    return running_total(df.withColumn("_one", F.lit(1)), order, "_one", name).select(name, *df.columns)
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """Adds the sum of `value` up to and including each row, in an order without ties, without one task seeing all rows.
+
+    The ranged rows are written once, as ranges are drawn from a sample and may differ from run to run.
     """
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    tagged = ranged.withColumn("_part", F.spark_partition_id())
-    sizes = {r["_part"]: r["count"] for r in tagged.groupBy("_part").count().collect()}
+    ranged = df.repartitionByRange(*[F.col(c) for c in order])
+    tagged = cut(ranged.withColumn("_part", F.spark_partition_id()))
     total, rows = 0, []
-    for p in sorted(sizes):
-        rows.append((p, total))
-        total += sizes[p]
-    if not rows:
-        return df.select(F.lit(None).cast("long").alias(name), "*").limit(0)
-    start = F.broadcast(spark.createDataFrame(rows, "_part int, _start long"))
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return tagged.withColumn("_n", within).join(start, "_part").select((F.col("_start") + F.col("_n")).alias(name), *df.columns)
+    for r in sorted(tagged.groupBy("_part").agg(F.sum(value).alias("s")).collect()):
+        rows.append((r["_part"], total))
+        total += r["s"]
+    start = F.broadcast(df.sparkSession.createDataFrame(rows, "_part int, _start long"))
+    within = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return tagged.withColumn("_n", within).join(start, "_part").select(*df.columns, (F.col("_start") + F.col("_n")).cast("long").alias(name))
 
 
 def dedupe_ranked(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
