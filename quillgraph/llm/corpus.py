@@ -165,12 +165,12 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str
 def copies(docs: DataFrame, key: str, text: str, groups: int) -> DataFrame:
     """NOTE rows with the ids of documents whose whole text some smaller id has too.
 
-    Equal texts meet by digest: one pre-aggregated shuffle for the smallest id, one join back that
-    adaptive execution splits when a single text holds many rows.  The ids go to their own groups.
+    Equal texts meet by digest: one pre-aggregated shuffle for the smallest id, one salted join back.
+    The ids go to their own groups.
     """
     slim = docs.select(F.col(key).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
     first = slim.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    later = slim.join(first, "digest").where("id > first").select("id").distinct()
+    later = salted_join(slim, first, "digest", "id").where("id > first").select("id")
 
     def run(batches):
         for batch in batches:
