@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import state
 from . import textcore as tc
 
 PACKED = "g int, docs binary, text binary"
@@ -85,7 +86,7 @@ def pack(docs: DataFrame, key: str, text: str, groups: int) -> DataFrame:
 
     def run(batches):
         deflate = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in tc.each(batches):
             table = pa.Table.from_batches([batch])
             ids = table.column(key).to_numpy()
             g = group_of(ids, groups)
@@ -120,6 +121,7 @@ class Group:
 
 
 def unpack(table: pa.Table, key: str) -> Group | None:
+    tc.give_back()  # what the group before took
     if not table.num_rows:
         return None
     inflate = zstandard.ZstdDecompressor()
@@ -173,7 +175,7 @@ def copies(docs: DataFrame, key: str, text: str, groups: int) -> DataFrame:
     later = salted_join(slim, first, "digest", "id").where("id > first").select("id")
 
     def run(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             ids = batch.column(0).to_numpy()
             g = group_of(ids, groups)
             order = np.argsort(g, kind="stable")
@@ -217,4 +219,5 @@ def schema_with(docs: DataFrame, without: set[str], extra: list[T.StructField])
 
 def usable(docs: DataFrame, key: str) -> DataFrame:
     """Rows with a key, as a long; rows without one cannot be named and are left out everywhere."""
+    state.tune(docs.sparkSession)
     return docs.where(F.col(key).isNotNull()).withColumn(key, F.col(key).cast("long"))

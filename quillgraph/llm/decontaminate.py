@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import state
 from . import textcore as tc
 
 SEED, MATCH, MISS, GAP = 4, 2, -1, -1
@@ -116,7 +117,7 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
 
     def count(batches):
         index = Seeds(shipped.value)
-        for batch in batches:
+        for batch in tc.each(batches):
             b, o = tc.flat(batch.column(0))
             total = np.zeros(len(index.hashes), np.int64)
             for x, y in tc.slabs(o):
@@ -141,7 +142,7 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
     def scan(batches):
         hashes, begins, of, offsets, words = told.value
         index = Seeds(hashes)
-        for batch in batches:
+        for batch in tc.each(batches):
             ids = batch.column(0).to_pylist()
             b, o = tc.flat(batch.column(1))
             rows, mine, theirs = [], [], []
@@ -184,6 +185,7 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
 def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rare_df: int = 100, least_seeds: int = 24, least_score: float = 0.5) -> DataFrame:
     """One row per document and item whose best alignment reaches `least_score`: key, item_key, score, where, seeds."""
     spark = docs.sparkSession
+    state.tune(spark)
     docs = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
     clean = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(item_key, item_text).distinct()
     total = clean.agg(F.sum(F.size(F.split(item_text, r"\s+"))).alias("n")).first()["n"] or 0

@@ -23,6 +23,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import state
+from . import textcore as tc
+
 DIMENSIONS, SEED = 1024, 9
 MOST_LANGUAGES = 4096
 UNKNOWN = "und"
@@ -112,7 +115,7 @@ def prototypes(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarra
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in tc.each(batches):
             texts, names = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
             for a, b in portions(texts):
                 v, _ = profiles(texts[a:b])
@@ -120,6 +123,7 @@ def prototypes(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarra
                     sums[name] = sums.get(name, 0) + np.rint(v[names[a:b] == name].sum(axis=0, dtype=np.float64)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
 
+    state.tune(labelled.sparkSession)
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang)
     parts = rows.mapInArrow(run, "lang string, v array<bigint>").select("lang", F.posexplode("v").alias("i", "x"))
     whole = parts.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
@@ -138,11 +142,12 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], key: str, text: str
     """key, lang_pred, score (the cosine, 0 at least) for every row."""
     names = list(learned)
     matrix = np.stack(list(learned.values())) if names else np.zeros((1, DIMENSIONS), np.float32)
+    state.tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast((names, matrix))
 
     def run(batches):
         names, matrix = shipped.value
-        for batch in batches:
+        for batch in tc.each(batches):
             texts = batch.column(1).to_pylist()
             lang, score = [], []
             for a, b in portions(texts):
@@ -161,11 +166,12 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], key: str, text: str
 def keep_identified(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = 0.0) -> DataFrame:
     """The rows, with all their columns, whose text has a letter and a cosine of at least `least` with some prototype; all with a letter if nothing was learned."""
     matrix = np.stack(list(learned.values())) if learned else np.zeros((0, DIMENSIONS), np.float32)
+    state.tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(matrix)
 
     def run(batches):
         matrix = shipped.value
-        for batch in batches:
+        for batch in tc.each(batches):
             texts = batch.column(text).to_pylist()
             keep = [np.zeros(0, bool)]
             for a, b in portions(texts):

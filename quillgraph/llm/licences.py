@@ -103,7 +103,7 @@ def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
 
     def run(batches):
         known = Templates(templates, threshold)
-        for batch in batches:
+        for batch in tc.each(batches):
             ids, (buf, off) = batch.column(0).to_pylist(), tc.flat(batch.column(1))
             out = {"key": [], "licence": [], "dice": [], "unit": [], "line": []}
             for a, b in tc.slabs(off) if len(known.every) else ():

@@ -112,7 +112,7 @@ def sketches(docs: DataFrame, key: str, text: str) -> DataFrame:
     """id, n_shingles, mark (128-bit digest of the set), sketch."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             buf, off = tc.flat(batch.column(1))
             n, mark, body = [], [], []
             for a, b in tc.slabs(off):
@@ -134,7 +134,7 @@ def plausible(pairs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame
     side = lambda s: nodes.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("sketch").alias(f"s_{s}"))
 
     def run(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             t = pa.Table.from_batches([batch])
             if t.num_rows:
                 ok = possible(_rows(t["s_a"]), _rows(t["s_b"]), t["n_a"].to_numpy(), t["n_b"].to_numpy(), threshold)
@@ -153,7 +153,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, per_cent: in
     asked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(calls) if small else calls, "id")
 
     def sets(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             buf, off = tc.flat(batch.column(1))
             out = {"hub": [], "salt": [], "own": [], "id": [], "body": []}
             for i, (who, calls) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
@@ -278,7 +278,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     nodes = state.cut(s.join(lead, ["id", "mark"], "left_semi").select("id", "n_shingles", "sketch"))
 
     def bands(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, REGISTERS)
             k = band_keys(s)
             row, col = np.nonzero(k)

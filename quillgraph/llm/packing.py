@@ -155,7 +155,7 @@ def tokenize(docs: DataFrame, key: str = "doc_id", text: str = "text", length: i
 
     def run(batches):
         made = chunks(path)
-        for batch in batches:
+        for batch in tc.each(batches):
             who = batch.column(0).to_numpy(zero_copy_only=False)
             buf, off = tc.flat(batch.column(1))
             for a, b in tc.slabs(off):

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import state
 from . import textcore as tc
 
 SAMPLE_ROWS = 20_000
@@ -101,10 +102,11 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and COUNTS of every row."""
+    state.tune(docs.sparkSession)
     kind = docs.select(key).schema[0].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             buf, off = tc.flat(batch.column(1))
             parts = [measure(buf[off[a] : off[b]], off[a : b + 1] - off[a]) for a, b in tc.slabs(off)]
             cols = [pa.array(np.concatenate([p[c] for p in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)) for c in COUNTS]

@@ -12,6 +12,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints"
 
 
+#: Bytes of one Arrow batch that goes to a Python worker, unless the session was made with another bound.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def tune(spark: SparkSession) -> None:
+    """Bound the batches of long texts by bytes as well as by rows: both sides hold a few of them at a time."""
+    if not spark.sparkContext.getConf().contains(_BATCH):
+        spark.conf.set(_BATCH, BATCH_BYTES)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder; what follows does not depend on executors' disks."""
     sc = df.sparkSession.sparkContext

@@ -164,7 +164,7 @@ def splitters(docs: DataFrame, key: str, text: str, length: int, plan: corpus.Pl
     left = length - length // 2 - 1
 
     def run(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             buf, off = tc.flat(batch.column(0))
             at, _ = anchors(buf, off, length)
             at = at[:: max(1, len(at) // 4096)]

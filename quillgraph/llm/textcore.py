@@ -8,6 +8,8 @@ bytes hashed, never on the machine, the partition or the process.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -21,6 +23,10 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -42,6 +48,21 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have[0][:n], have[1][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks, and so would what its allocators keep."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+def each(batches):
+    """The batches; after each one what it took is given back."""
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> U64(30))
