@@ -3,9 +3,9 @@
 Texts are normalised byte by byte: A-Z lower-cased, every other ASCII sign that is no letter or
 digit a blank; words are what stands between blanks.
 
-1. Seeds are the items' word 4-grams.  One pass counts the documents of each seed; an item keeps
-   the seeds found in at most ``rare_df`` documents and in any case its ``least_seeds`` rarest, so
-   an item that leaked everywhere still has seeds.
+1. Seeds are the items' word 3-grams.  One pass counts the documents of each seed; an item keeps
+   the seeds found in at most ``rare_df`` documents and in any case the rarest of every ``stripe``
+   neighbouring ones, so an item that leaked everywhere still has seeds all along.
 2. A second pass finds the seeds in every document.  Hits of an item on neighbouring diagonals
    make one passage, with a margin on either side.
 3. Passage and item are aligned by Smith-Waterman over words (match 2, mismatch and gap -1), many
@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import state
 from . import textcore as tc
 
-SEED, MATCH, MISS, GAP = 4, 2, -1, -1
+SEED, MATCH, MISS, GAP = 3, 2, -1, -1
 BLOCK_WORDS = 500_000
 NORMAL = tc.LOWER.copy()
 NORMAL[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
@@ -104,7 +104,7 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], batch: int = 128)
     return score, begin, end
 
 
-def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text: str, rare_df: int, least_seeds: int, least_score: float) -> DataFrame | None:
+def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text: str, rare_df: int, stripe: int, least_score: float) -> DataFrame | None:
     buf, off = tc.flat(pa.array([t for _, t in items], pa.string()))
     h, woff, at, g = grams(buf, off)
     if not len(g):
@@ -131,9 +131,10 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
     df = np.zeros(len(seeds), np.int64)
     for r in docs.select(text).mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         df[r["seed"]] = r["n"]
-    order = np.lexsort((offset, df[which], item))
-    rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
-    use = order[(rank < least_seeds) | (df[which[order]] <= rare_df)]
+    order = np.lexsort((offset, df[which], offset // stripe, item))
+    part = np.stack([item[order], offset[order] // stripe])
+    rarest = np.concatenate(([True], (part[:, 1:] != part[:, :-1]).any(axis=0)))
+    use = order[rarest | (df[which[order]] <= rare_df)]
     use = use[np.argsort(which[use], kind="stable")]
     kept, begins = np.unique(which[use], return_index=True)
     words = [h[a:b] for a, b in zip(woff[:-1], woff[1:], strict=True)]
@@ -182,7 +183,7 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
     return docs.select(F.col(key).cast("long"), text).mapInArrow(scan, FOUND)
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rare_df: int = 100, least_seeds: int = 24, least_score: float = 0.5) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rare_df: int = 100, stripe: int = 3, least_score: float = 0.5) -> DataFrame:
     """One row per document and item whose best alignment reaches `least_score`: key, item_key, score, where, seeds."""
     spark = docs.sparkSession
     state.tune(spark)
@@ -194,7 +195,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     found = None
     for k in range(blocks):
         part = [(r[0], r[1]) for r in clean.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k).orderBy(item_key, item_text).collect()]
-        got = _block(spark, docs, part, key, text, rare_df, least_seeds, least_score) if part else None
+        got = _block(spark, docs, part, key, text, rare_df, stripe, least_score) if part else None
         if got is not None:
             names = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(part)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField(item_key, kind)]))
             got = got.join(F.broadcast(names), "item").drop("item")
