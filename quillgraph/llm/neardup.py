@@ -39,6 +39,8 @@ _HASH_BITS = 52
 SIGMAS = 4.0
 #: Pairs confirmed with one hub in one task; classes of one key compared in one task.
 SPOKES, BLOCK = 256, 512
+#: Pairs whose sketches are compared at once: 2 KB each.
+PAIRS = 4096
 #: Rows of classes that one task compares key by key, about.
 SLOT = 20_000
 #: Ids of a side that is broadcast: 16 bytes each.
@@ -227,10 +229,10 @@ def _across(keyed: DataFrame, nodes: DataFrame, roots: DataFrame, threshold: flo
         made = {"a": [np.zeros(0, np.int64)], "b": [np.zeros(0, np.int64)]}
 
         def weigh(x: np.ndarray, y: np.ndarray) -> None:
-            for lo in range(0, len(x), 1 << 16):
-                p, q = x[lo : lo + (1 << 16)], y[lo : lo + (1 << 16)]
-                apart = root[p] != root[q]
-                p, q = p[apart], q[apart]
+            apart = root[x] != root[y]
+            x, y = x[apart], y[apart]
+            for lo in range(0, len(x), PAIRS):
+                p, q = x[lo : lo + PAIRS], y[lo : lo + PAIRS]
                 ok = possible(s[p], s[q], n[p], n[q], threshold)
                 p, q = p[ok], q[ok]
                 first = ((keys[p] == keys[q]) & (keys[p] != 0)).argmax(axis=1)
