@@ -154,10 +154,12 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, per_cent: in
     small = calls.count() <= BROADCAST_ROWS
     asked = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(calls) if small else calls, "id")
 
+    shape = pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("own", pa.bool_()), ("id", pa.int64()), ("body", pa.binary())])
+
     def sets(batches):
         for batch in tc.each(batches):
             buf, off = tc.flat(batch.column(1))
-            out = {"hub": [], "salt": [], "own": [], "id": [], "body": []}
+            out, size = {n: [] for n in shape.names}, 0
             for i, (who, calls) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 body = shingle_sets(buf[off[i] : off[i + 1]], off[i : i + 2] - off[i])[0].tobytes()
                 for c in calls:
@@ -165,7 +167,11 @@ def confirm(docs: DataFrame, pairs: DataFrame, key: str, text: str, per_cent: in
                         out[k].append(c[k])
                     out["id"].append(who)
                     out["body"].append(body)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("hub", pa.int64()), ("salt", pa.int32()), ("own", pa.bool_()), ("id", pa.int64()), ("body", pa.binary())]))
+                    size += len(body)
+                    if size > state.BATCH_BYTES:  # a document may be asked for by many hubs
+                        yield pa.RecordBatch.from_pydict(out, schema=shape)
+                        out, size = {n: [] for n in shape.names}, 0
+            yield pa.RecordBatch.from_pydict(out, schema=shape)
 
     def check(table: pa.Table) -> pa.Table:
         rows = [(i, own, np.frombuffer(b, np.uint64)) for i, own, b in zip(table["id"].to_pylist(), table["own"].to_pylist(), table["body"].to_pylist(), strict=True)]
