@@ -33,7 +33,7 @@ GROUP_PIECES = 4_000
 #: A bin filled to this share stays as it is; the pieces of others are placed again with those of other groups.
 FULL = 0.98
 #: Chunks whose tokens a Python worker remembers; others are encoded again when they come.
-CACHE = 1_000_000
+CACHE = 300_000
 _loaded: dict[str, Chunks] = {}
 _PAUSE, _LETTER = np.isin(np.arange(256), list(b".,!?;:")), np.isin(np.arange(256), range(97, 123))
 
@@ -45,18 +45,19 @@ def default_vocabulary() -> str:
 
 
 class Chunks:
-    """Token ids of white-space separated chunks.  The first CACHE of them are remembered, by 64-bit hash."""
+    """Token ids of white-space separated chunks.  The first `cache` of them are remembered, by 64-bit hash."""
 
     PROBES = 4
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.bits = int(CACHE * 3).bit_length()
+        self.cache = cache
+        self.bits = int(cache * 3).bit_length()
         self.keys = np.zeros((1 << self.bits) + self.PROBES, np.uint64)
         self.values = np.zeros(len(self.keys), np.int32)
         self.start, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
@@ -127,7 +128,7 @@ class Chunks:
             more, stop = self.fresh([raw[a:b] for a, b in zip(s[where].tolist(), e[where].tolist(), strict=True)])
             at[miss] = n + inverse
             start, ids = np.concatenate([start, start[-1] + stop]), np.concatenate([ids, more])
-            if n + len(new) <= CACHE:
+            if n + len(new) <= self.cache:
                 self.start, self.ids = start, ids
                 self.remember(new, n)
         size = start[at + 1] - start[at]
@@ -143,9 +144,11 @@ class Chunks:
         return out, doc + np.arange(len(doc))
 
 
-def chunks(path: str) -> Chunks:
-    if path not in _loaded:
-        _loaded[path] = Chunks(path)
+def chunks(path: str, cache: int | None = None) -> Chunks:
+    """A worker's table for a vocabulary; asked for with another size, it is made anew."""
+    cache = cache or CACHE
+    if path not in _loaded or _loaded[path].cache != cache:
+        _loaded[path] = Chunks(path, cache)
     return _loaded[path]
 
 

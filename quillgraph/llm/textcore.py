@@ -21,6 +21,8 @@ IS_WORD[list(SEPARATORS)] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Bytes worked on at once; the tables of powers that a worker keeps are as long.
+SLAB = (1 << 19) - 64
 _BASE, _WBASE = 0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03
 _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 try:
@@ -31,7 +33,7 @@ _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n; kept between calls up to 2**22 entries."""
+    """base**i and base**-i modulo 2**64 for i < n; kept between calls up to 2**20 entries."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
         size = 1 << max(16, int(n - 1).bit_length())
@@ -43,7 +45,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             np.multiply.accumulate(p, out=p)
             both.append(p)
         have = tuple(both)
-        if size <= 1 << 22:
+        if size <= 1 << 20:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
@@ -92,7 +94,7 @@ def flat(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slabs(off: np.ndarray, most: int = 1 << 20):
+def slabs(off: np.ndarray, most: int = SLAB):
     """Runs [a, b) of whole documents with at most `most` bytes, or one longer document."""
     a, n = 0, len(off) - 1
     while a < n:

@@ -25,7 +25,7 @@ def tokenizer():
     return t
 
 
-def test_chunks_equal_whole_texts(tokenizer, known, monkeypatch):
+def test_chunks_equal_whole_texts(tokenizer, known):
     import pyarrow as pa
 
     from quillgraph.llm import textcore as tc
@@ -33,8 +33,7 @@ def test_chunks_equal_whole_texts(tokenizer, known, monkeypatch):
     odd = ["don't stop, it's 3rd x", "Éa, ÇA! İstanbul é.́ á,b", "日本語 テスト。abc...def ,,, <|endoftext|> x's", "a.́ z;̈ .a,b", "x\x85y z w\x1cv"]
     texts = odd + [t for _, t in known]
     for cache in (1_000_000, 5):
-        monkeypatch.setattr(packing, "CACHE", cache)
-        made = packing.Chunks(packing.default_vocabulary())
+        made = packing.Chunks(packing.default_vocabulary(), cache)
         for _ in range(2):
             ids, at = made.encode(*tc.flat(pa.array(texts)))
             assert all(ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t, a, b in zip(texts, at[:-1], at[1:], strict=True))
