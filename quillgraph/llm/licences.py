@@ -2,11 +2,16 @@
 
 Texts are normalised byte by byte: A-Z lower-cased, every other ASCII sign that is no letter or
 digit a blank.  Three kinds of unit are compared with the templates: every line, every paragraph
-of several lines (a run of lines with words), and a text of several paragraphs as a whole.  Two
-sets of distinct word bigrams score 2 * common / (size + size); for a threshold t only templates
+of several lines (a run of lines with words), and a text of several paragraphs as a whole.  A
+licence that no unit reaches is looked for in word windows, whatever lines and paragraphs they
+cross: from a template's bigram to another, at most (2 - t) / t times as long as the template.
+Two sets of distinct word bigrams score 2 * common / (size + size); for a threshold t only templates
 whose size is between t / (2 - t) and (2 - t) / t times the unit's can reach it, and a unit that
 holds too few bigrams of any template is never looked at.  A document's best unit per licence is
-reported.
+reported.  A bigram in a window counts for one licence: that of the window that holds most of its
+template, so the words of one notice are not taken for a similar one.
+
+The SQL twin states the three units, not the windows; both agree on texts whose notices are units.
 
 It is one scan; templates are the fixed list below or the caller's, at most ``MOST_TEMPLATES``.
 
@@ -28,7 +33,7 @@ from .decontaminate import NORMAL
 
 THRESHOLD = 0.8
 MOST_TEMPLATES = 10_000
-UNITS = ("line", "paragraph", "text")
+UNITS = ("line", "paragraph", "text", "window")
 #: Notices and texts by licence.  Their wording is the licences' own.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -66,6 +71,12 @@ class Templates:
         self.sets = sorted(sets, key=lambda x: len(x[1]))
         self.sizes = np.array([len(s) for _, s in self.sets])
         self.every = np.unique(np.array([x for _, s in self.sets for x in s], np.uint64))
+        # which templates hold a bigram, fewest common bigrams and most places of a window that matches
+        has = [(int(np.searchsorted(self.every, np.uint64(x))), k) for k, (_, s) in enumerate(self.sets) for x in s]
+        at, self.of = np.array(sorted(has), np.int64).reshape(-1, 2).T
+        self.begins = np.searchsorted(at, np.arange(len(self.every) + 1))
+        self.least = np.ceil(threshold / (2 - threshold) * self.sizes - 1e-9).astype(np.int64)
+        self.most = np.floor((2 - threshold) / threshold * self.sizes + 1e-9).astype(np.int64)
         self.fewest = int(np.ceil(threshold / (2 - threshold) * self.sizes.min() - 1e-9)) if sets else 0
 
     def matches(self, unit: np.ndarray):
@@ -79,6 +90,49 @@ class Templates:
                 yield name, score
 
 
+    def dense(self, at: np.ndarray, which: np.ndarray, doc: np.ndarray) -> dict[int, dict[int, np.ndarray]]:
+        """By text and template, the template's bigrams where enough of them stand close together; `at` are the places of known bigrams, `which` and `doc` their numbers and texts."""
+        many = self.begins[which + 1] - self.begins[which]
+        k = self.of[np.repeat(self.begins[which], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+        at, doc = np.repeat(at, many), np.repeat(doc, many)
+        order = np.lexsort((at, k, doc))
+        at, k, doc = at[order], k[order], doc[order]
+        last = np.arange(len(at)) + self.least[k] - 1
+        there = np.minimum(last, len(at) - 1)
+        full = (last < len(at)) & (k[there] == k) & (doc[there] == doc) & (at[there] - at < self.most[k])
+        out: dict[int, dict[int, np.ndarray]] = {}
+        edge = np.concatenate((np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])))), [len(at)])) if len(at) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            if full[a:b].any():
+                out.setdefault(int(doc[a]), {})[int(k[a])] = np.stack([at[a:b], full[a:b]])
+        return out
+
+    def windows(self, pairs: np.ndarray, end: int, close: dict[int, np.ndarray]):
+        """(licence, score, first word) of the windows of a text that ends at `end`, those with most common bigrams first."""
+        found = []
+        for k, (hits, full) in close.items():
+            size, stop = int(self.sizes[k]), int(self.most[k])
+            for x in hits[full > 0].tolist():
+                run = pairs[x : min(x + stop, end - 1)]
+                mine = hits[np.searchsorted(hits, x) : np.searchsorted(hits, x + len(run))]
+                new = np.zeros(len(run), bool)
+                new[np.unique(run, return_index=True)[1]] = True
+                n = np.cumsum(new)[mine - x]
+                c = np.cumsum(new[mine - x])
+                score = 2 * c / (n + size)
+                j = int(score.argmax())
+                if score[j] >= self.threshold - 1e-12:
+                    found.append((-int(c[j]), -float(score[j]), x, k, mine[: j + 1], int(n[j])))
+        taken: dict[int, str] = {}
+        for _, _, x, k, mine, n in sorted(found, key=lambda f: f[:4]):
+            name = self.sets[k][0]
+            free = [p for p in mine.tolist() if taken.get(p, name) == name]
+            score = 2 * len(set(pairs[free].tolist())) / (n + int(self.sizes[k]))
+            if score >= self.threshold - 1e-12:
+                taken |= dict.fromkeys(free, name)
+                yield name, score, x
+
+
 def units(doc: bytes, words: np.ndarray):
     """(kind, number, first word, end) of each unit; `words` are the starts of the text's words."""
     feeds = np.flatnonzero(np.frombuffer(doc, np.uint8) == 10)
@@ -96,7 +150,7 @@ def units(doc: bytes, words: np.ndarray):
 
 
 def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """key, licence, dice, unit ("line", "paragraph" or "text") and the unit's first line, from 0; one row per document and licence."""
+    """key, licence, dice, unit ("line", "paragraph", "text" or "window") and the unit's first line, from 0; one row per document and licence."""
     templates = TEMPLATES if templates is None else templates
     if len(templates) > MOST_TEMPLATES or not 0 < threshold <= 1:
         raise ValueError(f"at most {MOST_TEMPLATES} templates, and a threshold in (0, 1]")
@@ -114,6 +168,10 @@ def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
                 near = np.zeros(len(s) + 1, np.int64)
                 where = np.minimum(np.searchsorted(known.every, pairs), len(known.every) - 1)
                 near[1 : len(pairs) + 1] = known.every[where] == pairs
+                at = np.flatnonzero(near[1 : len(pairs) + 1])
+                doc = np.searchsorted(woff, at, "right") - 1
+                inside = at + 1 < woff[doc + 1]
+                close = known.dense(at[inside], where[at[inside]], doc[inside])
                 near = np.cumsum(near)
                 for i in np.flatnonzero(near[np.maximum(woff[1:] - 1, woff[:-1])] - near[woff[:-1]] >= known.fewest).tolist():
                     first = int(woff[i])
@@ -123,6 +181,11 @@ def licence_scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templ
                         if y - x > 1 and near[y - 1] - near[x] >= known.fewest:
                             for name, score in known.matches(pairs[x : y - 1]):
                                 best[name] = min(best.get(name, (0.0, 0, 0)), (-score, kind, line)) if name in best else (-score, kind, line)
+                    listed = set(best)
+                    for name, score, x in known.windows(pairs, int(woff[i + 1]), close.get(i, {})):
+                        if name not in listed:
+                            line = int((part[o[i] : s[x]] == 10).sum())
+                            best[name] = min(best.get(name, (0.0, 0, 0)), (-score, 3, line))
                     for name in sorted(best):
                         for c, v in zip(out, (ids[a + i], name, -best[name][0], UNITS[best[name][1]], best[name][2]), strict=True):
                             out[c].append(v)

@@ -178,3 +178,19 @@ def test_licences(spark, nothing):
     assert {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "proprietary"), (9, "CC-BY-NC-4.0")} == {g[:2] for g in got}
     assert licences.licence_scan(nothing).count() == 0
     assert licences.licence_scan(docs, templates=[]).count() == 0
+
+
+def test_licence_notices_across_units(spark):
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 200)
+    bsd = next(t for n, t in licences.TEMPLATES if n == "BSD-3-Clause" and len(t) > 200)
+    code = "\n".join(f"value{k} = compute{k}(thing{k}, other{k})" for k in range(400))
+    parts = mit.replace("conditions: The", "conditions:\n#\n# The").replace("Software. THE", "Software.\n#\n# THE")
+    rows = [
+        (1, "# " + parts + "\n\n" + code), (2, code + "\n\n" + bsd.replace(" 1. ", "\n\n1. ").replace(" 3. ", "\n\n3. ") + "\n\n" + code),
+        (3, "Copyright (c) 2020 Foo Inc. All rights reserved."), (4, "first\nThis tool was written by some people. Released under the MIT License. It is kept by others."),
+        (5, "Licensed under CC BY-NC 4.0. Licensed under CC BY-NC 4.0. " + "Further words follow here and go on. " * 9), (6, "We hold all rights to it, and seats are reserved."),
+        (7, bsd.replace("are met:", "are met: All rights reserved.") + " " + code),
+    ]
+    got = {(r["doc_id"], r["licence"], round(r["dice"], 2), r["unit"], r["line"]) for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {g[:2] for g in got} == {(1, "MIT"), (2, "BSD-3-Clause"), (3, "proprietary"), (4, "MIT"), (5, "CC-BY-NC-4.0"), (7, "BSD-3-Clause"), (7, "proprietary")}
+    assert {(1, "MIT", 1.0, "window", 0), (2, "BSD-3-Clause", 1.0, "window", 401), (3, "proprietary", 1.0, "window", 0), (4, "MIT", 1.0, "window", 1)} <= got
