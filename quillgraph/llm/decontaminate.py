@@ -1,13 +1,17 @@
-"""Benchmark passages in training documents (operator 8): rare seeds, then local alignment.
+"""Benchmark passages in training documents (operator 8): seeds that no alignment does without, then local alignment.
 
 Texts are normalised byte by byte: A-Z lower-cased, every other ASCII sign that is no letter or
 digit a blank; words are what stands between blanks.
 
-1. Seeds are the items' word 3-grams.  One pass counts the documents of each seed; an item keeps
-   the seeds found in at most ``rare_df`` documents and in any case the rarest of every ``stripe``
-   neighbouring ones, so an item that leaked everywhere still has seeds all along.
-2. A second pass finds the seeds in every document.  Hits of an item on neighbouring diagonals
-   make one passage, with a margin on either side.
+1. Seeds are the neighbouring words of items; a text holds one where the two stand together or one
+   word apart.  An alignment of score t or more with an item of n words holds ``least_seeds`` of
+   them, on diagonals no further apart than ``drift``: every word of an item that is left out and
+   every word put in costs score.  Where that is none at all, single words are the seeds.
+   One pass counts the documents of each seed; of the seeds found in more than ``rare_df``
+   documents an item leaves out the commonest, at most half of ``least_seeds``, and is then looked
+   for by as many fewer.  No alignment is lost by this, whatever the number of copies.
+2. A second pass finds the seeds in every document.  Enough hits of an item on near diagonals make
+   one passage, with a margin on either side; a long one is looked at in overlapping parts.
 3. Passage and item are aligned by Smith-Waterman over words (match 2, mismatch and gap -1), many
    at a time; the score is divided by that of a perfect copy, so edits, insertions and omissions
    lower it gradually.  Pairs that reach ``least_score`` are reported.
@@ -16,7 +20,7 @@ Items are the stated query set: they go to the executors in blocks of at most ``
 words, counted beforehand; more items mean more blocks, not a larger broadcast.  Documents never
 move: either pass is a scan, and only counts of seeds are shuffled.
 
-Edge cases: null and wordless texts give nothing, as do items of fewer words than a seed; rows
+Edge cases: null and wordless texts give nothing, as do items of fewer than ``SHORTEST`` words; rows
 with a null id are left out; repeated item rows count once; rows that share a doc_id are looked at
 each and the best score per pair is kept.
 """
@@ -32,20 +36,35 @@ from pyspark.sql import types as T
 from . import state
 from . import textcore as tc
 
-SEED, MATCH, MISS, GAP = 3, 2, -1, -1
+SHORTEST, MATCH, MISS, GAP = 3, 2, -1, -1
 BLOCK_WORDS = 500_000
+#: Hits of seeds in texts looked at together, or those of one text.
+MOST_HITS = 2_000_000
 NORMAL = tc.LOWER.copy()
 NORMAL[[i for i in range(128) if not chr(i).isalnum()]] = 0x20
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("item", T.IntegerType()), T.StructField("score", T.DoubleType()), T.StructField("begin_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("n_seeds", T.IntegerType())])
 
 
-def grams(buf: np.ndarray, off: np.ndarray, size: int = SEED):
-    """Word hashes, first word of each document, and positions and hashes of the grams inside documents."""
-    h, woff = tc.word_hashes(NORMAL[buf], off)
-    if len(h) < size:
-        return h, woff, np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.flatnonzero(tc.window_starts(woff, size))
-    return h, woff, at, tc.rolling(h, size)[at]
+def least_seeds(n: np.ndarray, least_score: float) -> np.ndarray:
+    """How many seeds an alignment of that score holds at least, with an item of n words.
+
+    Of m matched words m - 1 are followed by another.  The score 2m less the costs is 2tn or more
+    (t = least_score).  If x steps pass over words of the item (x <= n - m, each costs 1 or more) and
+    y steps pass over two or more words of the text only (each costs 2 or more), then
+    x + 2y <= 2m - 2tn, and all other steps are seeds: m - 1 - x - y >= (4t - 1)n / 3 - 1.
+    """
+    return np.ceil((4 * least_score - 1) * n / 3 - 1 - 1e-9).astype(np.int64)
+
+
+def drift(n: np.ndarray, least_score: float) -> np.ndarray:
+    """How far apart the diagonals of an alignment of that score are at most: each step aside costs 1 of the 2n(1 - t) there are."""
+    return np.floor(2 * n * (1 - least_score) + 1e-9).astype(np.int64)
+
+
+def grams(h: np.ndarray, woff: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of a word and the one `gap` places on inside documents; of single words if gap is 0."""
+    at = np.flatnonzero(tc.window_starts(woff, gap + 1))
+    return at, tc.mix(h[at] * np.uint64(0x9E3779B97F4A7C15) + h[at + gap]) if gap else tc.mix(h[at] + np.uint64(1))
 
 
 class Seeds:
@@ -64,6 +83,25 @@ class Seeds:
         hit = self.hashes[where] == h[near]
         return near[hit], where[hit]
 
+    def places(self, h: np.ndarray, woff: np.ndarray, gaps: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, positions and numbers of the seeds in texts, by position."""
+        got = [(at[near], s) for at, g in (grams(h, woff, gap) for gap in gaps) for near, s in (self.find(g),)]
+        pos, seed = (np.concatenate(x) for x in zip(*got, strict=True))
+        order = np.argsort(pos, kind="stable")
+        pos = pos[order]
+        return np.searchsorted(woff, pos, "right") - 1, pos, seed[order]
+
+
+def portions(doc: np.ndarray, many: np.ndarray):
+    """Runs [a, b) of entries, of whole documents, with at most MOST_HITS hits, or one document with more."""
+    total, a = np.cumsum(many), 0
+    while a < len(doc):
+        b = int(np.searchsorted(total, total[a] - many[a] + MOST_HITS, "right"))
+        b = len(doc) if b >= len(doc) else int(np.searchsorted(doc, doc[b]))
+        b = b if b > a else int(np.searchsorted(doc, doc[a], "right"))
+        yield a, b
+        a = b
+
 
 def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best local score of each pair, and the ends (exclusive) of that alignment in item and passage."""
@@ -104,12 +142,20 @@ def align(items: list[np.ndarray], passages: list[np.ndarray], batch: int = 128)
     return score, begin, end
 
 
-def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text: str, rare_df: int, stripe: int, least_score: float) -> DataFrame | None:
+def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text: str, rare_df: int, least_score: float) -> DataFrame | None:
     buf, off = tc.flat(pa.array([t for _, t in items], pa.string()))
-    h, woff, at, g = grams(buf, off)
+    h, woff = tc.word_hashes(NORMAL[buf], off)
+    size = np.diff(woff)
+    need = least_seeds(size, least_score)
+    single = (need < 1) & (size >= SHORTEST)
+    parts = [grams(h, woff, 1), grams(h, woff, 0)]
+    of = [np.searchsorted(woff, at, "right") - 1 for at, _ in parts]
+    use = [(size[of[0]] >= SHORTEST) & ~single[of[0]], single[of[1]]]
+    at, g, item = (np.concatenate([x[u] for x, u in zip(v, use, strict=True)]) for v in ((parts[0][0], parts[1][0]), (parts[0][1], parts[1][1]), of))
     if not len(g):
         return None
-    item = np.searchsorted(woff, at, "right") - 1
+    need = np.maximum(need, 1)
+    gaps = (1, 2) + ((0,) if single.any() else ())
     offset = at - woff[item]
     seeds = np.unique(g)
     which = np.searchsorted(seeds, g)
@@ -121,9 +167,7 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
             b, o = tc.flat(batch.column(0))
             total = np.zeros(len(index.hashes), np.int64)
             for x, y in tc.slabs(o):
-                _, w, p, hs = grams(b[o[x] : o[y]], o[x : y + 1] - o[x])
-                near, s = index.find(hs)
-                doc = np.searchsorted(w, p[near], "right") - 1
+                doc, _, s = index.places(*tc.word_hashes(NORMAL[b[o[x] : o[y]]], o[x : y + 1] - o[x]), gaps)
                 total += np.bincount(np.unique(doc * len(total) + s) % len(total), minlength=len(total))
             s = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(s.astype(np.int32)), pa.array(total[s])], ["seed", "n"])
@@ -131,46 +175,61 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
     df = np.zeros(len(seeds), np.int64)
     for r in docs.select(text).mapInArrow(count, "seed int, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():
         df[r["seed"]] = r["n"]
-    order = np.lexsort((offset, df[which], offset // stripe, item))
-    part = np.stack([item[order], offset[order] // stripe])
-    rarest = np.concatenate(([True], (part[:, 1:] != part[:, :-1]).any(axis=0)))
-    use = order[rarest | (df[which[order]] <= rare_df)]
+    order = np.lexsort((offset, -df[which], item))
+    rank = np.arange(len(order)) - np.searchsorted(item[order], item[order])
+    out = (rank < need[item[order]] // 2) & (df[which[order]] > rare_df)
+    need -= np.bincount(item[order[out]], minlength=len(need))
+    use = order[~out]
     use = use[np.argsort(which[use], kind="stable")]
     kept, begins = np.unique(which[use], return_index=True)
     words = [h[a:b] for a, b in zip(woff[:-1], woff[1:], strict=True)]
-    told = spark.sparkContext.broadcast((seeds[kept], np.append(begins, len(use)), item[use], offset[use], words))
+    told = spark.sparkContext.broadcast((seeds[kept], np.append(begins, len(use)), item[use], offset[use], words, need))
 
     def scan(batches):
-        hashes, begins, of, offsets, words = told.value
+        hashes, begins, of, offsets, words, need = told.value
         index = Seeds(hashes)
+        size = np.array([len(v) for v in words], np.int64)
+        far = drift(size, least_score)
         for batch in tc.each(batches):
             ids = batch.column(0).to_pylist()
             b, o = tc.flat(batch.column(1))
             rows, mine, theirs = [], [], []
             for x, y in tc.slabs(o):
-                hs, w, p, g = grams(b[o[x] : o[y]], o[x : y + 1] - o[x])
-                near, s = index.find(g)
-                if not len(near):
-                    continue
-                many = begins[s + 1] - begins[s]
-                entry = np.repeat(begins[s], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                pos = np.repeat(p[near], many)
-                doc = np.searchsorted(w, pos, "right") - 1
-                it, diagonal = of[entry], pos - offsets[entry]
-                order = np.lexsort((diagonal, it, doc))
-                doc, it, diagonal = doc[order], it[order], diagonal[order]
-                size = np.array([len(v) for v in words])[it]
-                cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1]) | (np.diff(diagonal) > size[1:] // 2))))
-                for a, e in zip(cut, [*cut[1:], len(doc)], strict=True):
-                    d, item_words = doc[a], words[it[a]]
-                    pad = len(item_words) // 4 + 2
-                    lo = max(int(w[d]), int(diagonal[a]) - pad)
-                    hi = min(int(w[d + 1]), int(diagonal[e - 1]) + len(item_words) + pad)
-                    passage = hs[lo:hi]
-                    if 2 * np.isin(item_words, passage).sum() >= least_score * len(item_words):
-                        rows.append((ids[x + d], int(it[a]), lo - int(w[d]), e - a))
-                        mine.append(item_words)
-                        theirs.append(passage)
+                hs, w = tc.word_hashes(NORMAL[b[o[x] : o[y]]], o[x : y + 1] - o[x])
+                at_doc, at, seed = index.places(hs, w, gaps)
+                each = begins[seed + 1] - begins[seed]
+                for lo, hi in portions(at_doc, each):
+                    many, first = each[lo:hi], begins[seed[lo:hi]]
+                    entry = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                    doc, it = np.repeat(at_doc[lo:hi], many), of[entry]
+                    pos = np.repeat(at[lo:hi], many)
+                    diagonal = pos - offsets[entry]
+                    order = np.lexsort((diagonal, it, doc))
+                    doc, it, diagonal, pos = doc[order], it[order], diagonal[order], pos[order]
+                    # a hit counts where enough others of its item are as near as one alignment's can be
+                    last = np.arange(len(doc)) + need[it] - 1
+                    there = np.minimum(last, len(doc) - 1)
+                    full = np.flatnonzero((last < len(doc)) & (doc[there] == doc) & (it[there] == it) & (diagonal[there] - diagonal <= far[it]))
+                    live = np.zeros(len(doc) + 1, np.int64)
+                    np.add.at(live, full, 1)
+                    np.add.at(live, last[full] + 1, -1)
+                    live = np.cumsum(live[:-1]) > 0
+                    doc, it, diagonal, pos = doc[live], it[live], diagonal[live], pos[live]
+                    if not len(doc):
+                        continue
+                    cut = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (it[1:] != it[:-1]) | (np.diff(diagonal) > far[it[1:]]))))
+                    for a, e in zip(cut, [*cut[1:], len(doc)], strict=True):
+                        d, k = int(doc[a]), int(it[a])
+                        start = max(int(w[d]), int(diagonal[a]) - int(far[k]))
+                        end = min(int(w[d + 1]), int(diagonal[e - 1]) + int(size[k] + far[k]))
+                        span = int(size[k] + far[k])
+                        for begin in range(start, max(end - span, start + 1), 3 * span):
+                            passage = hs[begin : min(begin + 4 * span, end)]
+                            if np.isin(words[k], passage).sum() >= least_score * size[k] - 1e-9:
+                                inside = int(((pos[a:e] >= begin) & (pos[a:e] < begin + len(passage))).sum())
+                                rows.append((ids[x + d], k, begin - int(w[d]), inside))
+                                mine.append(words[k])
+                                theirs.append(passage)
             out = {f.name: [] for f in FOUND.fields}
             if rows:
                 score, begin, end = align(mine, theirs)
@@ -183,7 +242,7 @@ def _block(spark, docs: DataFrame, items: list[tuple[int, str]], key: str, text:
     return docs.select(F.col(key).cast("long"), text).mapInArrow(scan, FOUND)
 
 
-def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rare_df: int = 100, stripe: int = 3, least_score: float = 0.5) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", rare_df: int = 100, least_score: float = 0.5) -> DataFrame:
     """One row per document and item whose best alignment reaches `least_score`: key, item_key, score, where, seeds."""
     spark = docs.sparkSession
     state.tune(spark)
@@ -195,7 +254,7 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     found = None
     for k in range(blocks):
         part = [(r[0], r[1]) for r in clean.where(F.pmod(F.xxhash64(item_key), F.lit(blocks)) == k).orderBy(item_key, item_text).collect()]
-        got = _block(spark, docs, part, key, text, rare_df, stripe, least_score) if part else None
+        got = _block(spark, docs, part, key, text, rare_df, least_score) if part else None
         if got is not None:
             names = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(part)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField(item_key, kind)]))
             got = got.join(F.broadcast(names), "item").drop("item")

@@ -141,6 +141,35 @@ def test_decontamination_blocks_and_edges(leaks, nothing, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, items, rare_df=0).collect()} == truth
 
 
+@pytest.mark.parametrize("rare_df", [0, 100])
+def test_decontamination_finds_dense_edits(spark, rare_df):
+    import random
+
+    import numpy as np
+
+    r = random.Random(8)
+    items = [[f"w{r.randrange(300)}" for _ in range(n)] for n in (3, 4, 7, 20, 33, 58)]
+    edits = [lambda i, w: [w, "in"], lambda i, w: [w, "in"] if i % 2 else [w], lambda i, w: ["in"] if i % 3 == 2 else [w], lambda i, w: [] if i % 3 == 2 else [w], lambda i, w: [w, "in", "in"] if i % 3 == 0 else [w], lambda i, w: [w] if r.random() < 0.75 else [r.choice(["in", w + " in"])]]
+    texts = []
+    for k in range(240):
+        item, edit = items[k % 6], edits[k // 6 % 6]
+        copy = " ".join(x for i, w in enumerate(item) for x in edit(i, w)).split()
+        if k % 5 == 0:
+            half = len(item) // 2
+            copy = item[:half] + ["in"] * (len(item) - 1) + item[half:]
+        filler = [f"w{r.randrange(300)}" for _ in range(r.randrange(0, 400))]
+        texts.append(filler[:50] + copy + filler[50:])
+    code = {w: i + 1 for i, w in enumerate(sorted({w for t in [*items, *texts] for w in t}))}
+    number = lambda ws: np.array([code[w] for w in ws], np.uint64)
+    pairs = [(i, k) for i in range(len(texts)) for k in range(len(items))]
+    score, _, _ = decontaminate.align([number(items[k]) for _, k in pairs], [number(texts[i]) for i, _ in pairs])
+    truth = {(i, k, s / 2 / len(items[k])) for (i, k), s in zip(pairs, score.tolist(), strict=True) if s >= len(items[k])}
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    table = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["score"]) for r in decontaminate.contamination(docs, table, rare_df=rare_df).collect()} == truth
+    assert decontaminate.contamination(spark.createDataFrame([(1, " ".join(items[5][:2]))], "doc_id long, text string"), table, rare_df=rare_df).count() == 0
+
+
 def align_by_hand(a, b):
     h = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     best = 0
