@@ -196,3 +196,24 @@ def test_warc_notices_damage(tmp_path):
 def test_unused_columns_do_not_matter(docs):
     a = packing.tokenize(docs.select("doc_id", "text")).agg(F.sum("ids_crc32")).first()[0]
     assert packing.tokenize(clashing(docs)).agg(F.sum("ids_crc32")).first()[0] == a
+
+
+def test_every_learning_document_moves_the_weights(spark, monkeypatch):
+    """Also one that is too long to be drawn into the sample; a held-out one does not."""
+    monkeypatch.setattr(lm, "SAMPLE_TEXT", 2_000)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(30)]
+    learn = [i for i in range(30) if not held[i]]
+    texts = {learn[0]: "one two three " * 900, learn[1]: "four five six seven", held.index(True): "held out words"}
+    x = lm.corpus.usable(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id")
+    plan = lm.corpus.measure(x, "text", lm.GROUP_BYTES)
+    path = lm.packing.default_vocabulary()
+    packed = lm.corpus.pack(x, "doc_id", "text", plan.groups)
+    answers = lm.state.cut(lm.counts(packed, plan, "doc_id", path))
+    size = len(lm.packing.chunks(path, lm.CACHE).ends_word) + 1
+    tokens = lm.subword_counts(answers, size)
+    fitted = lambda docs, all_docs: lm.fit(docs, all_docs, answers, plan, "doc_id", "text", path, tokens)[0].p
+    whole = fitted(x, packed)
+    short = x.where(f"doc_id <> {learn[0]}")
+    public = x.where(f"doc_id <> {held.index(True)}")
+    assert any((whole[k] != w).any() for k, w in fitted(x, lm.corpus.pack(short, "doc_id", "text", plan.groups)).items())
+    assert all((whole[k] == w).all() for k, w in fitted(x, lm.corpus.pack(public, "doc_id", "text", plan.groups)).items())
