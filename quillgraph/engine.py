@@ -115,7 +115,7 @@ class Engine:
             raise VersionMismatch(f"indexed with {stored[1]}, asked with {self.version()}")
         q = self.spark.createDataFrame(questions, "qid string, query string")
         q = q.withColumn("embedding", self.embed(F.concat(F.lit(self.query_prefix), F.col("query"))))
-        return retrieval.hit_view(retrieval.hybrid(self.symbols, q, top, alpha, rerank))
+        return retrieval.hit_view(retrieval.hybrid(self.symbols, q, top, alpha, rerank, index=self.store.index()))
 
     def get_symbol(self, id: int) -> DataFrame:  # noqa: A002  the operation's own argument name
         return store.by_id(self.symbols, id).drop("embedding", "search_blob")

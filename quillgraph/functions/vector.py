@@ -15,10 +15,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """0 for empty vectors or different lengths; the denominator is 1e-12 at least."""
+def norm(a: Column) -> Column:
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
+    """0 for empty vectors or different lengths; the denominator is 1e-12 at least.  Norms that are known already need not be computed for each pair."""
     fine = (F.size(a) == F.size(b)) & (F.size(a) > 0)
-    return F.when(fine, dot(a, b) / F.greatest(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(1e-12))).otherwise(0.0)
+    both = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
+    return F.when(fine, dot(a, b) / F.greatest(both, F.lit(1e-12))).otherwise(0.0)
 
 
 def hashing_vector(text: str, dim: int) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,22 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector as vx
 from . import ranking
+from .state import cut
 
 #: Columns in the order that fixes their weights, and the scores' constants.
 WEIGHTS = {"name": 10.0, "snippet": 1.0, "kind": 1.0, "search_blob": 5.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 POOL, RRF_C, ALPHA = 50, 60, 0.6
 QUERY_BLOCK = 4096
+MOST_TERMS = 1000
+
+
+@dataclass(frozen=True)
+class Index:
+    """What a full-text search reads: postings (term, id, col, pos) and lengths (id, dl)."""
+
+    postings: DataFrame
+    lengths: DataFrame
 
 
 def lengths(symbols: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -25,26 +36,47 @@ def lengths(symbols: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFram
 
 
 def postings(symbols: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    """id, col, pos, term for every token; persist it sorted by term to prune later reads."""
+    """term, id, col, pos for every token; a store keeps them sorted by term, so that a search reads its own terms alone."""
     each = F.array(*[F.struct(F.lit(c).alias("col"), tx.tokens(F.col(c)).alias("terms")) for c in weights])
     rows = symbols.select("id", F.explode(each).alias("x")).select("id", "x.col", F.posexplode("x.terms").alias("pos", "term"))
-    return rows
+    return rows.select("term", "id", "col", "pos")
+
+
+def _scanned(symbols: DataFrame, terms: list[str], weights: dict[str, float]) -> Index:
+    """An index of these terms alone, from one pass over the rows: each text is cut into tokens once."""
+    split = symbols.select("id", *[tx.tokens(F.col(c)).alias(c) for c in weights])
+
+    def spots(c: str) -> Column:
+        every = F.transform(F.col(c), lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos")))
+        return F.filter(every, lambda x: x["term"].isin(terms))
+
+    rows = cut(split.select("id", sum((F.size(c) for c in weights), F.lit(0)).cast("long").alias("dl"), F.concat(*map(spots, weights)).alias("spots")))
+    return Index(rows.select("id", F.inline("spots")).select("term", "id", "col", "pos"), rows.select("id", "dl"))
 
 
-def bm25(symbols: DataFrame, queries: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+def bm25(symbols: DataFrame | Index, queries: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """qid, id, bm25_score for rows that hold any phrase of a query (qid, query).
 
-    A phrase's tokens stand next to each other in one column.  Only postings of the queries' terms go
-    on; statistics come from the live rows, so nothing deleted is ever counted.
+    A phrase's tokens stand next to each other in one column.  Only postings of the queries' terms are
+    read, from a stored index by a filter that reaches its files, from symbols in one pass; statistics
+    come from the live rows, so nothing deleted is ever counted.  The queries are a stated set: up to
+    ``MOST_TERMS`` of their terms are named in the plan, more are joined.
     """
     phrases = queries.select("qid", F.posexplode(tx.fts_phrases(F.col("query"))).alias("phrase", "terms"))
     wanted = phrases.select("qid", "phrase", F.size("terms").alias("k"), F.posexplode("terms").alias("i", "term"))
-    spots = postings(symbols, weights).join(wanted, "term").withColumn("base", F.col("pos") - F.col("i"))
+    terms = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    few = len(terms) <= MOST_TERMS
+    if isinstance(symbols, Index):
+        index = symbols
+    else:
+        index = _scanned(symbols, terms, weights) if few else Index(postings(symbols, weights), lengths(symbols, weights))
+    hits = index.postings.where(F.col("term").isin(terms)) if few else index.postings
+    spots = hits.join(wanted, "term").withColumn("base", F.col("pos") - F.col("i"))
     found = spots.groupBy("qid", "phrase", "k", "id", "col", "base").agg(F.count(F.lit(1)).alias("n")).where("n = k")
     weight = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.lit(float(w)))])
     tf = found.groupBy("qid", "phrase", "id").agg(F.sum(weight[F.col("col")]).alias("f"))
     df = tf.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("n_p"))
-    dl = lengths(symbols, weights)
+    dl = index.lengths
     stats = dl.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
     idf = F.log((F.col("n_rows") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
     idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
@@ -58,9 +90,11 @@ def cosine_scores(symbols: DataFrame, queries: DataFrame, block: int = QUERY_BLO
 
     The queries are a stated set: they are counted and sent to the rows in blocks of at most `block`, so no broadcast grows with them.
     """
-    q = queries.select("qid", F.col("embedding").alias("q_embedding"))
+    q = queries.select("qid", F.col("embedding").alias("q_embedding"), vx.norm(F.col("embedding")).alias("q_norm"))
+    rows = symbols.select("id", "embedding", vx.norm(F.col("embedding")).alias("norm"))
     blocks = max(1, -(-q.count() // block))
-    score = lambda part: symbols.select("id", "embedding").crossJoin(F.broadcast(part)).select("qid", "id", vx.cosine(F.col("embedding"), F.col("q_embedding")).alias("vector_score"))
+    cosine = vx.cosine(F.col("embedding"), F.col("q_embedding"), F.col("norm"), F.col("q_norm"))
+    score = lambda part: rows.crossJoin(F.broadcast(part)).select("qid", "id", cosine.alias("vector_score"))
     out = None
     for i in range(blocks):
         part = score(q if blocks == 1 else q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i))
@@ -80,13 +114,14 @@ def rrf(bm: DataFrame, vec: DataFrame, alpha: float = ALPHA, c: int = RRF_C) ->
     return both.withColumn("rrf_score", term("bm25_rank", 1.0 - alpha) + term("vector_rank", float(alpha)))
 
 
-def hybrid(symbols: DataFrame, queries: DataFrame, k: int = 5, alpha: float = ALPHA, reranker: Callable[[Column, Column], Column] | None = None, pool: int = POOL) -> DataFrame:
+def hybrid(symbols: DataFrame, queries: DataFrame, k: int = 5, alpha: float = ALPHA, reranker: Callable[[Column, Column], Column] | None = None, pool: int = POOL, index: Index | None = None, vectors: DataFrame | None = None) -> DataFrame:
     """Ranked hits of every query (qid, query, embedding): qid, rank, id, scores, and the symbol's columns.
 
-    `reranker` scores (query, document) pairs of the candidate pool; without one the fused order stands.
+    The text side reads `index` if there is one, the vector side `vectors` (id, embedding) if they are
+    kept apart from the symbols.  `reranker` scores (query, document) pairs of the candidate pool; without one the fused order stands.
     """
-    bm = ranked(bm25(symbols, queries), "bm25_score", "bm25_rank", pool)
-    vec = ranked(cosine_scores(symbols, queries), "vector_score", "vector_rank", pool)
+    bm = ranked(bm25(index or symbols, queries), "bm25_score", "bm25_rank", pool)
+    vec = ranked(cosine_scores(symbols if vectors is None else vectors, queries), "vector_score", "vector_rank", pool)
     fused = rrf(bm, vec, alpha)
     keep = max(pool, k) if reranker else k
     best = ranked(fused, "rrf_score", "rank", keep)

@@ -1,7 +1,14 @@
-"""Tables on disk as snapshots: written whole, then swapped in; looked up by plain filters.
+"""Tables on disk as snapshots: parts written once, then named by a pointer; looked up by plain filters.
 
-A store is a folder with one sub-folder per snapshot and a pointer table naming the live one.  An
-index run that embeds nothing leaves the live snapshot as it is, and readers never see half of one.
+A store is a folder with one sub-folder per write and a pointer table whose last row names the live
+parts of every table.  A snapshot that replaces a table writes it anew; one that adds rows writes
+these alone, and rows are taken away by listing their ids in `gone`, which readers leave out, so a
+small batch costs what it holds and not the store.  When a table has more than ``MOST_PARTS`` parts
+the store is written together.  An index run that embeds nothing leaves the live snapshot as it is, and readers
+never see half of one.
+
+With the symbols goes their full-text index, `postings` sorted by term and `lengths`: a search reads
+the row groups of its own terms.
 """
 
 from __future__ import annotations
@@ -10,11 +17,22 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema
-from . import ranking
+from . import ranking, retrieval
 
+INDEX = {
+    "postings": T.StructType([T.StructField("term", T.StringType()), T.StructField("id", T.LongType()), T.StructField("col", T.StringType()), T.StructField("pos", T.IntegerType())]),
+    "lengths": T.StructType([T.StructField("id", T.LongType()), T.StructField("dl", T.LongType())]),
+}
 TABLES = {"symbols": schema.SYMBOLS, "edges": schema.EDGES, "alias_decls": schema.ALIASES}
+GONE = T.StructType([T.StructField("id", T.LongType())])
+SHAPES = TABLES | INDEX | {"gone": GONE}
+#: Columns that hold a symbol's id.
+IDS = {"symbols": ["id"], "postings": ["id"], "lengths": ["id"], "edges": ["from_id", "to_id"]}
+MOST_PARTS = 16
+POINTER = "seq long, name string, parts map<string, array<string>>"
 
 
 class Store:
@@ -28,31 +46,86 @@ class Store:
         p = jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
+    def _pointer(self) -> tuple[int, str | None, dict[str, list[str]]]:
+        if self._exists(f"{self.path}/live"):
+            row = self.spark.read.schema(POINTER).json(f"{self.path}/live").orderBy(F.desc("seq")).first()
+            if row:
+                return row["seq"], row["name"], dict(row["parts"])
+        return 0, None, {}
+
     def live(self) -> str | None:
         """The live snapshot's name."""
-        if not self._exists(f"{self.path}/live"):
-            return None
-        row = self.spark.read.schema("seq long, name string").json(f"{self.path}/live").orderBy(F.desc("seq")).first()
-        return row and row["name"]
+        return self._pointer()[1]
+
+    def _read(self, name: str, parts: dict[str, list[str]]) -> DataFrame:
+        out = None
+        for folder in parts.get(name, []):
+            part = self.spark.read.schema(SHAPES[name]).parquet(f"{self.path}/{folder}").select(*SHAPES[name].names)
+            out = part if out is None else out.unionByName(part)
+        if out is None:
+            return self.spark.createDataFrame([], SHAPES[name])
+        if parts.get("gone") and name in IDS:
+            gone = self._read("gone", parts)
+            for c in IDS[name]:
+                out = out.join(gone.select(F.col("id").alias(c)), c, "left_anti")
+        return out.select(*SHAPES[name].names)
 
     def table(self, name: str) -> DataFrame:
         """A live table; empty with its schema before the first snapshot."""
-        snap = self.live()
-        if snap is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{snap}/{name}").select(*TABLES[name].names)
+        return self._read(name, self._pointer()[2])
+
+    def index(self) -> retrieval.Index:
+        """The live symbols' full-text index."""
+        parts = self._pointer()[2]
+        return retrieval.Index(self._read("postings", parts), self._read("lengths", parts))
+
+    def _put(self, snap: str, name: str, df: DataFrame) -> str:
+        """Write a part: edges by kind, postings by range of their terms.  A frequent term is cut between ids."""
+        want = SHAPES[name]
+        df = df.select(*[F.col(f.name).cast(f.dataType) for f in want.fields])
+        if name == "postings":
+            df = df.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+        out = df.write.mode("append")
+        (out.partitionBy("kind") if name == "edges" else out).parquet(f"{self.path}/{snap}/{name}")
+        return f"{snap}/{name}"
+
+    def _swap(self, replace: dict[str, DataFrame], add: dict[str, DataFrame]) -> str:
+        seq, _, parts = self._pointer()
+        old, snap = dict(parts), f"snapshot-{uuid.uuid4().hex}"
+        if "symbols" in replace and old.get("gone"):  # their ids are written for the last time here, so who names them is too
+            replace = {"edges": self._read("edges", old)} | replace
+            parts.pop("gone")
+        for name, df in (replace | add).items():
+            part = self._put(snap, name, df)
+            parts[name] = [part] if name in replace else [*parts.get(name, []), part]
+            if name == "symbols":
+                written = self.spark.read.schema(SHAPES[name]).parquet(f"{self.path}/{part}")
+                for n, rows in (("postings", retrieval.postings(written)), ("lengths", retrieval.lengths(written))):
+                    p = self._put(snap, n, rows)
+                    parts[n] = [p] if name in replace else [*parts.get(n, []), p]
+        self.spark.createDataFrame([(seq + 1, snap, parts)], POINTER).coalesce(1).write.mode("append").json(f"{self.path}/live")
+        if max(map(len, parts.values()), default=0) > MOST_PARTS:
+            return self.write(**{n: self.table(n) for n in TABLES})
+        return snap
 
     def write(self, **tables: DataFrame) -> str:
-        """Write a snapshot of the given tables (the others are carried over), then make it live.  Edges are partitioned by kind."""
-        snap = f"snapshot-{uuid.uuid4().hex}"
-        for name, want in TABLES.items():
-            df = tables.get(name)
-            df = self.table(name) if df is None else df.select(*[F.col(f.name).cast(f.dataType) for f in want.fields])
-            out = df.write
-            (out.partitionBy("kind") if name == "edges" else out).parquet(f"{self.path}/{snap}/{name}")
-        seq = 1 + (self.spark.read.schema("seq long, name string").json(f"{self.path}/live").agg(F.max("seq")).first()[0] or 0 if self._exists(f"{self.path}/live") else 0)
-        self.spark.createDataFrame([(seq, snap)], "seq long, name string").coalesce(1).write.mode("append").json(f"{self.path}/live")
-        return snap
+        """A snapshot with the given tables in place of the old ones; the others stay as they are."""
+        return self._swap({n: tables[n] for n in TABLES if n in tables}, {})
+
+    def add(self, **tables: DataFrame) -> str:
+        """A snapshot with more rows, or with ids that are `gone`."""
+        return self._swap({}, {n: tables[n] for n in SHAPES if n in tables})
+
+    def replace_paths(self, paths: DataFrame, symbols: DataFrame) -> str:
+        """Symbols in place of all of these paths, under ids of their own; edges of those that went go with them."""
+        gone = self.table("symbols").join(paths.select("path").distinct(), "path", "left_semi").select("id")
+        return self.add(symbols=symbols, gone=gone)
+
+    def top_id(self) -> int:
+        """The largest id ever given in the live parts, those of rows that are gone included."""
+        parts = self._pointer()[2]
+        ids = self._read("gone", parts).unionByName(self._read("symbols", parts | {"gone": []}).select("id"))
+        return ids.agg(F.max("id")).first()[0] or 0
 
     def note_version(self, version: str) -> None:
         """Record which embedding the live vectors come from; the last note counts."""
@@ -74,17 +147,17 @@ class Store:
         return True
 
     def append(self, symbols: DataFrame) -> str:
-        return self.write(symbols=self.table("symbols").unionByName(symbols))
+        return self.add(symbols=symbols)
 
     def add_edges(self, edges: DataFrame) -> str:
         """Insert or ignore on (from, to, kind): what is stored stays."""
-        both = self.table("edges").withColumn("_n", F.lit(0)).unionByName(edges.withColumn("_n", F.lit(1)))
-        return self.write(edges=ranking.first_wins(both, ["from_id", "to_id", "kind"], [F.col("_n"), -F.col("confidence")]).drop("_n"))
+        keys = ["from_id", "to_id", "kind"]
+        return self.add(edges=ranking.first_wins(edges, keys, [-F.col("confidence")]).join(self.table("edges").select(*keys), keys, "left_anti"))
 
     def add_aliases(self, aliases: DataFrame) -> str:
         """Insert or ignore on (file, alias)."""
-        both = self.table("alias_decls").withColumn("_n", F.lit(0)).unionByName(aliases.withColumn("_n", F.lit(1)))
-        return self.write(alias_decls=ranking.first_wins(both, ["file", "alias"], [F.col("_n"), F.col("target_file")]).drop("_n"))
+        keys = ["file", "alias"]
+        return self.add(alias_decls=ranking.first_wins(aliases, keys, [F.col("target_file")]).join(self.table("alias_decls").select(*keys), keys, "left_anti"))
 
     def clear(self, *names: str) -> str:
         """Empty tables (all by default) in a new snapshot."""

@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import evaluation, graphs, retrieval, scalars, storage  # noqa: F401  each registers its queries
+    from . import evaluation, graphs, retrieval, scalars, storage, trees  # noqa: F401  each registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,10 +124,8 @@ def rrf_fusion(spark, d):
 SELECT t.qid, t.rank, t.id, s.name, s.kind, s.path, round(t.rrf_score, 9) AS score FROM top t JOIN symbols s USING (id) WHERE t.rank <= 5""")
 def hybrid_search(spark, d):
     """The five best documents for every question: text and vectors, fused."""
-    docs = views.documents(spark, d).join(embedded(spark, d).select("id", "embedding"), "id", "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
-    bm, vec = _lists(spark, d)
-    best = rt.ranked(rt.rrf(bm, vec), "rrf_score", "rank", 5)
-    return best.join(docs.drop("embedding"), "id").select("qid", "rank", "id", "name", "kind", "path", F.round("rrf_score", 9).alias("score"))
+    best = rt.hybrid(views.documents(spark, d), question_vectors(spark, d), vectors=embedded(spark, d))
+    return best.select("qid", "rank", "id", "name", "kind", "path", F.round("rrf_score", 9).alias("score"))
 
 
 @query(f"WITH {_FUSED} SELECT qid, CASE WHEN max(rrf_score) IS NULL OR max(rrf_score) < 0.012 THEN 1.0 ELSE -0.25 END::DOUBLE AS score FROM fused GROUP BY qid")

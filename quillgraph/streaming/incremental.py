@@ -19,18 +19,16 @@ def symbol_stream(files: DataFrame) -> DataFrame:
 def upsert_by_path(target: store.Store, finish: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink: the symbols of a batch's files replace those files' symbols, ids going on from the highest.
 
-    A batch that comes twice leaves the same rows but for ids; `finish` adds blob and embedding.
+    A batch that comes twice leaves the same rows but for ids; `finish` adds blob and embedding.  Edges
+    of replaced symbols go with them.  What is written is the batch, and the ids that it replaces.
     """
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch = batch.persist()
         try:
-            paths = batch.select("path").distinct()
-            kept = target.table("symbols").join(paths, "path", "left_anti")
-            top = target.table("symbols").agg(F.max("id")).first()[0] or 0
+            top = target.top_id()
             new = finish(ranking.number_rows(scan.symbols_of(batch), ["path", "byte", "name"]).withColumn("id", F.col("id") + top))
-            names = [f for f in kept.columns]
-            target.write(symbols=kept.unionByName(new.select(*names)))
+            target.replace_paths(batch.select("path"), new)
         finally:
             batch.unpersist()
 

@@ -68,7 +68,43 @@ def test_upsert_by_path(spark, tmp_path):
     for text in ("def a(): pass\ndef b(): pass\n", "def c(): pass\n"):
         files = spark.createDataFrame([("x.py", text)], "path string, content string")
         sink(incremental.symbol_stream(files), 0)
-    assert [r["name"] for r in st.table("symbols").collect()] == ["c"]
+    assert [(r["id"], r["name"]) for r in st.table("symbols").collect()] == [(3, "c")]
+    st.add_edges(spark.createDataFrame([(3, 3, "Calls", 1.0)], "from_id long, to_id long, kind string, confidence double"))
+    sink(incremental.symbol_stream(spark.createDataFrame([("x.py", "def e(): pass\n"), ("y.py", "def d(): pass\n")], "path string, content string")), 1)
+    assert sorted((r["id"], r["name"]) for r in st.table("symbols").collect()) == [(4, "e"), (5, "d")] and st.table("edges").count() == 0
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    """A search over the stored index equals one over the rows, reads its own terms alone, and forgets what is gone."""
+    from quillgraph.operators import retrieval, store
+
+    text = lambda k: " ".join(f"w{(k * j) % 23}" for j in range(1, 40))
+    rows = [(k, "class", f"name_{k % 7}", f"p{k % 5}", 1, 2, text(k), f"name {k % 7}", [1.0, float(k)]) for k in range(1, 60)]
+    shape = store.TABLES["symbols"]
+    st = store.Store(spark, str(tmp_path / "st"))
+    assert st.index().postings.count() == 0 and st.top_id() == 0
+    st.append(spark.createDataFrame(rows[:40], shape))
+    st.append(spark.createDataFrame(rows[40:], shape))
+    q = spark.createDataFrame([("a", "w3 name_2"), ("b", "w1_w2 class"), ("c", "nowhere"), ("d", "")], "qid string, query string")
+
+    def scores(source):
+        return {(r["qid"], r["id"]): round(r["bm25_score"], 9) for r in retrieval.bm25(source, q).collect()}
+
+    want = scores(st.table("symbols"))
+    assert want and scores(st.index()) == want
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 1)  # the terms are joined instead
+    assert scores(st.index()) == want and scores(st.table("symbols")) == want
+    monkeypatch.undo()
+    plan = retrieval.bm25(st.index(), q)._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in plan
+    st.replace_paths(spark.createDataFrame([("p1",)], "path string"), spark.createDataFrame([], shape))
+    left = st.table("symbols")
+    assert left.where("path = 'p1'").count() == 0 and left.count() == 47
+    assert scores(st.index()) == scores(left) != want
+    monkeypatch.setattr(store, "MOST_PARTS", 1)  # the store is written together
+    st.append(spark.createDataFrame([(90, *rows[0][1:])], shape))
+    assert st.table("symbols").count() == 48 and scores(st.index()) == scores(st.table("symbols"))
+    assert len(st._pointer()[2]["symbols"]) == 1 and "gone" not in st._pointer()[2]
 
 
 def test_registry(spark):
