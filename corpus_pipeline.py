@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept, and returns a
 DataFrame; all but the last return the columns of `documents`.  ``run`` writes each stage's rows
 as Parquet to the cluster's shared folder and reads them again, so a lost executor costs the work
-of one stage at most.  Documents without a doc_id cannot be named and leave at the second stage.
+of one stage at most.  Documents without a doc_id cannot be named and leave at the second stage; of
+rows that share one, a stage judges each by its text, but for decontamination, which takes all rows
+of an id that holds a benchmark item.
 """
 
 from __future__ import annotations
@@ -15,8 +17,6 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import decontaminate, langid, neardup, packing, state, substring
 
-#: A text whose best cosine is below this looks like no language learned.
-LEAST_COSINE = 0.03
 #: A list of ids up to this long is broadcast (8 bytes each); a longer one is joined by shuffle.
 BROADCAST_IDS = 100_000
 
@@ -28,15 +28,14 @@ def _listed(ids: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the languages learned from the labelled ones; texts without a letter go."""
+    """Documents whose text is in one of the languages learned from the labelled ones; texts in others and texts without a letter go."""
     learned = langid.prototypes(docs.where(~langid.held_out("doc_id")), "text", "lang")
-    return langid.keep_identified(docs, learned, "text", LEAST_COSINE)
+    return langid.keep_identified(docs, learned, "text")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return neardup.keep_one(docs).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +65,7 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: SQL cannot state the first, second and last stage; tests/llm compares every stage with brute force.
+#: SQL cannot state the first, second and last stage; tests/llm/test_pipeline.py compares every stage with brute force.
 ORACLE_SQL = None
 
 

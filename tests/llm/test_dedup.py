@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -121,6 +122,55 @@ def test_chain_and_large_group(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("broadcast", [16 << 20, 0])
+def test_edited_group_and_shared_ids(spark, monkeypatch, broadcast):
+    """A large group of texts edited up to and beyond the threshold, and near copies of both texts under one id; with sides broadcast and shuffled."""
+    monkeypatch.setattr(neardup, "BROADCAST_BYTES", broadcast)
+    r = random.Random(4)
+    base = [f"w{r.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in r.sample(range(120), r.randrange(9)):
+            words[at] = f"e{r.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    other = [f"v{k}" for k in range(80)]
+    rows += [(2, " ".join(other)), (700, " ".join([*other, "more"])), (701, " ".join([*other, "and", "more"])), (700, "a third text"), (1, ""), (0, None), (5, "lone text"), (5, "lone text")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == components_by_hand([(i, t or "") for i, t in rows])
+
+
+def test_own_shingles_and_prefixes(spark):
+    """A link shares one of either's rarest shingles; what one class alone holds is its own, other texts under its id left aside."""
+    rows = [(1, "a b c d e f g h i j"), (2, "a b c d e f g h i k"), (3, "x y z u v w"), (3, "a b c d e q"), (4, "x y z u v t s r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    s = neardup.sketches(docs, "doc_id", "text")
+    nodes = s.where("id <> 3").selectExpr("id", "id as doc", "mark", "n_shingles", "sketch")
+    open_ = spark.createDataFrame([(9, 1, 6, 1, 6), (9, 2, 6, 2, 6), (8, 4, 4, 4, 2)], "key long, id long, n long, root long, small long")
+    own = neardup.own_shingles(docs, open_, nodes, "doc_id", "text")
+    assert {x["id"]: (x["n"], x["small"], x["own"]) for x in own.collect()} == {1: (6, 6, 1), 2: (6, 6, 1), 4: (4, 2, 4)}
+    rare = neardup.prefixes(docs, own, nodes, "doc_id", "text", 50)
+    # 6 and 6 shingles at 0.5 take 4 in common, so the prefix has 3, one of them own; the class 4 shares none
+    assert Counter((x["id"], x["place"]) for x in rare.collect()) == Counter([(1, 1), (1, 2), (2, 1), (2, 2)])
+    meet = neardup._open(rare, spark.createDataFrame([], "id long, root long"), "place")
+    assert {(x["a"], x["b"]) for x in neardup._across(meet, nodes, 50, 3).collect()} == {(2, 1)}
+
+
+def test_components(spark, monkeypatch):
+    r = random.Random(8)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(330)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
+    low = {x: x for pair in links for x in pair}
+    for _ in range(100):
+        for a, b in links:
+            low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(links, "a long, b long").repartition(7)
+    for most in (1_000_000, 50):
+        monkeypatch.setattr(neardup, "CONTRACTED", most)
+        got = neardup.components(df).collect()
+        assert len(got) == len({x["id"] for x in got}) and {x["id"]: x["root"] for x in got} == {x: y for x, y in low.items() if x != y}
+    assert neardup.components(df.where("false")).count() == 0
+
+
 def test_sketch_estimates():
     r = np.random.default_rng(5)
     for n, share in ((40, 0.8), (400, 0.6), (5000, 0.75)):
