@@ -20,6 +20,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ from . import textcore as tc
 
 DIMENSIONS, SEED = 1024, 9
 MOST_LANGUAGES = 4096
+#: The cosine of a text that looks like no language learned strays from 0 by 1 / sqrt(DIMENSIONS): four times that.
+LEAST = 4 / DIMENSIONS**0.5
+#: Texts of fewer signs are not judged by their cosine.
+SHORT = 20
+#: Bytes of text whose profiles are made at once.
+PORTION = 1 << 18
 UNKNOWN = "und"
 _shift = np.random.Generator(np.random.PCG64(SEED)).permutation(DIMENSIONS)
 _letters: dict[int, np.ndarray] = {}
@@ -47,8 +54,8 @@ def letter(code: int) -> np.ndarray:
     return _letters[code]
 
 
-def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """A vector for each text, and whether it has a letter."""
+def profiles(texts: list[str | None], ends: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """A vector for each text, and whether it has a letter; without `ends` a text's first and last sign touch no boundary."""
     parts = [(t or "").lower().encode("utf-32-le", "surrogatepass") for t in texts]
     code = np.frombuffer(b"".join(parts), np.uint32)
     size = np.array([len(p) // 4 for p in parts], np.int64)
@@ -60,14 +67,17 @@ def profiles(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     zero = np.searchsorted(alphabet, 0) if 0 in alphabet else len(alphabet)
     a = len(alphabet) + (zero == len(alphabet))
     end = np.cumsum(size)
-    x = np.insert(c, np.concatenate((end - size, end)), zero) if len(c) else c
-    owner = np.insert(doc, np.concatenate((end - size, end)), np.concatenate((np.arange(len(texts)),) * 2)) if len(c) else doc
+    x, owner = c, doc
+    if ends and len(c):
+        edges = np.stack((end - size, end), axis=1).ravel()  # in the order of the texts: one's end stands before the next one's start
+        x = np.insert(c, edges, zero)
+        owner = np.insert(doc, edges, np.repeat(np.arange(len(texts)), 2))
     if len(x) < 3:
         return np.zeros((len(texts), DIMENSIONS), np.float32), some
     gram = (x[:-2].astype(np.int64) * a + x[1:-1]) * a + x[2:]
     owner = owner[:-2][ok := (owner[:-2] == owner[2:]) & (gram != (zero * a + zero) * a + zero)]
     gram = gram[ok]
-    if a**3 <= 1 << 22:
+    if a**3 <= 1 << 20:
         here = np.bincount(gram, minlength=a**3) > 0
         vocab = np.flatnonzero(here)
         rank = np.cumsum(here) - 1
@@ -93,17 +103,25 @@ def _alphabet(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(here), (np.cumsum(here) - 1)[code]
 
 
-def portions(texts: list[str | None], signs: int = 1 << 20):
-    """Runs of whole texts of at most so many characters, or one longer text."""
-    a, total = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if i > a and (total + n > signs or i - a >= 1024):
-            yield a, i
-            a, total = i, 0
-        total += n
-    if a < len(texts):
-        yield a, len(texts)
+def portions(column: pa.Array, signs: int = PORTION):
+    """(from, to, vectors, whether it has a letter) for runs of whole texts of about so many bytes.
+
+    A longer text is summed over pieces that share two signs, so that every trigram is in one of them.
+    """
+    off = tc.flat(column)[1]
+    for a, b in tc.slabs(off, signs):
+        for lo in range(a, b, 1024):
+            hi = min(lo + 1024, b)
+            if off[hi] - off[lo] <= signs:
+                yield lo, hi, *profiles(column.slice(lo, hi - lo).to_pylist())
+                continue
+            t = f"\0{column[lo].as_py().lower()}\0"
+            v, some = np.zeros((1, DIMENSIONS), np.float64), np.zeros(1, bool)
+            for at in range(0, max(1, len(t) - 2), signs):
+                part, known = profiles([t[at : at + signs + 2]], ends=False)
+                v += part
+                some |= known
+            yield lo, hi, v.astype(np.float32), some
 
 
 def held_out(key: str) -> Column:
@@ -116,9 +134,8 @@ def prototypes(labelled: DataFrame, text: str, lang: str) -> dict[str, np.ndarra
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in tc.each(batches):
-            texts, names = batch.column(0).to_pylist(), np.array(batch.column(1).to_pylist(), object)
-            for a, b in portions(texts):
-                v, _ = profiles(texts[a:b])
+            names = np.array(batch.column(1).to_pylist(), object)
+            for a, b, v, _ in portions(batch.column(0)):
                 for name in set(names[a:b]):
                     sums[name] = sums.get(name, 0) + np.rint(v[names[a:b] == name].sum(axis=0, dtype=np.float64)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.int64()))], ["lang", "v"])
@@ -148,10 +165,8 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], key: str, text: str
     def run(batches):
         names, matrix = shipped.value
         for batch in tc.each(batches):
-            texts = batch.column(1).to_pylist()
             lang, score = [], []
-            for a, b in portions(texts):
-                v, some = profiles(texts[a:b])
+            for a, b, v, some in portions(batch.column(1)):
                 cosine = v @ matrix.T / np.maximum(np.linalg.norm(v, axis=1), 1e-9)[:, None]
                 best = cosine.argmax(axis=1)
                 known = some if names else np.zeros(b - a, bool)
@@ -163,8 +178,11 @@ def predict(docs: DataFrame, learned: dict[str, np.ndarray], key: str, text: str
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows, with all their columns, whose text has a letter and a cosine of at least `least` with some prototype; all with a letter if nothing was learned."""
+def keep_identified(docs: DataFrame, learned: dict[str, np.ndarray], text: str = "text", least: float = LEAST, short: int = SHORT) -> DataFrame:
+    """The rows, with all their columns, whose text has a letter and a cosine of at least `least` with some prototype.
+
+    Texts of fewer than `short` signs say too little and stay if they have a letter, as do all if nothing was learned.
+    """
     matrix = np.stack(list(learned.values())) if learned else np.zeros((0, DIMENSIONS), np.float32)
     state.tune(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(matrix)
@@ -172,12 +190,11 @@ def keep_identified(docs: DataFrame, learned: dict[str, np.ndarray], text: str =
     def run(batches):
         matrix = shipped.value
         for batch in tc.each(batches):
-            texts = batch.column(text).to_pylist()
             keep = [np.zeros(0, bool)]
-            for a, b in portions(texts):
-                v, some = profiles(texts[a:b])
+            brief = pc.less(pc.utf8_length(batch.column(text)), short).fill_null(True).to_numpy(zero_copy_only=False)
+            for a, b, v, some in portions(batch.column(text)):
                 if len(matrix):
-                    some = some & ((v @ matrix.T).max(axis=1) >= least * np.linalg.norm(v, axis=1))
+                    some = some & (brief[a:b] | ((v @ matrix.T).max(axis=1) >= least * np.linalg.norm(v, axis=1)))
                 keep.append(some)
             yield batch.filter(pa.array(np.concatenate(keep)))
 

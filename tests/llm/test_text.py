@@ -1,7 +1,11 @@
+import random
 import re
+import zlib
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +62,40 @@ def test_rules(spark):
     assert quality.judge(docs.where("false"), rules).count() == 0
 
 
+def test_whole_quality_query(spark, tmp_path, docs, rows):
+    """The query's columns, and kept from the learned list applied by hand."""
+    clean = lambda k: " ".join(f"word{k}x{j} and" for j in range(40))
+    more = [(1000 + k, clean(k) if k % 3 else clean(k).upper().replace(" ", " $% "), "en", "s", 0) for k in range(240)]
+    every = rows + more
+    spark.createDataFrame(every, docs.schema).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1000 + k, int(k % 3 > 0), 0) for k in range(200)] + [(9999, 0, 0), (1000, None, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    d, labels = spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet"))
+    rules = quality.learn_rules(d.select("doc_id", "text"), labels)
+    assert rules
+
+    def kept(t):
+        counts = {r["doc_id"]: r for r in quality.statistics(spark.createDataFrame([(0, t)], "doc_id long, text string")).collect()}[0]
+        n, *_, repeats, _ = counts_by_hand(t)
+        if n < 50 or 100 * repeats > 50 * n:
+            return True, False
+        for rule in rules:
+            if all((counts[a] / counts[b] if counts[b] else 0.0) > c.threshold if c.above else (counts[a] / counts[b] if counts[b] else 0.0) <= c.threshold for c in rule for a, b in [quality.FEATURES[c.feature]]):
+                return False, False
+        return False, True
+
+    judged = {t: kept(t) for t in {t or "" for _, t, *_ in every[::7] + every[-12:]}}
+    got = quality.op1_quality_rules(spark, str(tmp_path))
+    texts = {r["doc_id"]: r["text"] or "" for r in d.collect() if r["doc_id"] not in (103, 303)}
+    for r in got.collect():
+        t = texts.get(r["doc_id"])
+        if t is not None:
+            assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts_by_hand(t)[:5]
+            if t in judged:
+                assert (r["base_failed"], r["kept"]) == judged[t]
+    assert got.count() == len(every) and {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"} <= set(got.columns)
+    assert {v for _, v in judged.values()} == {True, False}
+
+
 def test_rules_are_one_expression():
     rules = [[quality.Condition("upper_per_char", True, 0.5), quality.Condition("marks_per_word", False, 1.0)], [quality.Condition("symbols_per_word", True, 0.1)]]
     assert [str(c) for c in rules[0]] == ["upper_per_char > 0.5", "marks_per_word <= 1"]
@@ -74,6 +112,58 @@ def test_language(spark, docs, rows):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def profile_by_hand(t):
+    """The sum of bound trigram vectors, one trigram at a time."""
+    signs = [ord(c) if c.isalpha() else 0 for c in f"\0{t.lower()}\0"] if t else []
+    out = np.zeros(langid.DIMENSIONS)
+    for a, b, c in zip(signs, signs[1:], signs[2:], strict=False):
+        if a or b or c:
+            out += langid.letter(a) * langid.letter(b)[langid._shift].astype(int) * langid.letter(c)[langid._shift][langid._shift]
+    return out, any(signs)
+
+
+def test_language_query_by_hand(spark, tmp_path, docs, rows):
+    """Every prediction and score of the query from profiles made trigram by trigram, in whatever batches."""
+    docs.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    made = {t: profile_by_hand(t) for t in {t or "" for _, t, *_ in rows}}
+    sums = {}
+    for i, t, lang, *_ in rows:
+        if lang and t is not None and not held(i):
+            sums[lang] = sums.get(lang, 0) + made[t][0]
+    names = sorted(sums)
+
+    def judge(t):
+        v, some = made[t or ""]
+        if not some:
+            return "und", 0.0
+        cos = [v @ sums[n] / np.linalg.norm(v) / np.linalg.norm(sums[n]) for n in names]
+        return names[int(np.argmax(cos))], max(0.0, max(cos))
+
+    got = langid.op9_language_id(spark, str(tmp_path)).collect()
+    want = sorted(((i, held(i), *judge(t)) for i, t, *_ in rows), key=lambda r: (r[0] is None, r))
+    got = sorted(((r["doc_id"], r["held_out"], r["lang_pred"], r["score"]) for r in got), key=lambda r: (r[0] is None, r))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-4)
+
+
+def test_language_of_long_texts_and_strangers(spark):
+    """A text longer than a portion has the profile it has as a whole; texts in no learned language go, short ones stay."""
+    r = random.Random(3)
+    long = " ".join("".join(r.choice("aeioudnrst") for _ in range(r.randrange(1, 9))) for _ in range(3000)) + " İΣ."
+    column = pa.array(["x", long, None, "", "ab"])
+    parts = list(langid.portions(column, 1000))
+    for a, b, v, some in parts:
+        want, known = langid.profiles(column.slice(a, b - a).to_pylist())
+        assert np.array_equal(v, want) and np.array_equal(some, known)
+    assert [p[:2] for p in parts] == [(0, 1), (1, 2), (2, 5)]
+    words = lambda alphabet, n: " ".join("".join(r.choice(alphabet) for _ in range(r.randrange(2, 8))) for _ in range(n))
+    rows = [(1, long[:9000], "en"), (2, long[9000:], "en"), (3, words("абвгдежзиклмн", 80), None), (4, words("αβγδεζηθικλμ", 80), None), (5, "жук", None), (6, long[100:400], None), (7, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.prototypes(docs, "text", "lang")
+    assert {r["doc_id"] for r in langid.keep_identified(docs, learned).collect()} == {1, 2, 5, 6}
+
+
 def test_language_never_reads_labels(docs):
     learned = langid.prototypes(docs, "text", "lang")
     a = {(r["doc_id"], r["lang_pred"]) for r in langid.predict(docs, learned, "doc_id", "text").collect()}
