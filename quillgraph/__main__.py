@@ -1,14 +1,16 @@
-"""Command line: index, query, build report lines, dump edges, walk the graph, evaluate."""
+"""Command line: index, query, build and dump edges, walk the graph, evaluate, compare embedders."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import sys
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine, parse_kinds
+from .functions import vector as vx
 from .operators import evaluate, store
 from .sources import reports
 
@@ -20,6 +22,15 @@ def main(argv: list[str] | None = None) -> int:
     s = sub.add_parser("index")
     s.add_argument("repo")
     s.add_argument("--max-consecutive-fail", type=int, default=5)
+    s = sub.add_parser("build-graph")
+    s.add_argument("repo")
+    s = sub.add_parser("embed-snapshot")
+    s.add_argument("queries")
+    s.add_argument("--out", required=True)
+    s = sub.add_parser("embed-equivalence")
+    s.add_argument("queries")
+    s.add_argument("--snapshot", required=True)
+    s.add_argument("--out")
     s = sub.add_parser("query")
     s.add_argument("text")
     s.add_argument("--top", type=int, default=5)
@@ -47,8 +58,24 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("quillgraph").getOrCreate()
     engine = Engine(spark, a.store)
     show = lambda df: print("\n".join(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect()))  # noqa: E731  a report's few rows
+    if a.do == "index" and engine.needs_reindex():
+        print("the store has import edges but no alias declarations, as an older index leaves it; index into a fresh store", file=sys.stderr)
+        return 2
     if a.do == "index":
         print(json.dumps(engine.index_repo(a.repo, a.max_consecutive_fail)))
+    elif a.do == "build-graph":
+        show(engine.build_graph(a.repo).orderBy("kind"))
+        show(store.count_by_kind(engine.edges))
+    elif a.do == "embed-snapshot":
+        reports.write_json(engine.embed_snapshot(reports.read_queries(spark, a.queries)), a.out)
+    elif a.do == "embed-equivalence":
+        before = spark.read.schema("id string, role string, embedding array<float>").json(a.snapshot)
+        gate = evaluate.equivalence_gate(before, engine.embed_snapshot(reports.read_queries(spark, a.queries)), vx.cosine)
+        gate = gate.select("mean", "p10", "p50", "p90", "n", "missing", "passes").persist()
+        if a.out:
+            reports.write_json(gate, a.out)
+        show(gate)
+        return 0 if gate.first()["passes"] else 1
     elif a.do == "query":
         show(engine.query(a.text, a.top, a.alpha))
     elif a.do == "eval":

@@ -16,6 +16,8 @@ from .operators import graph, ranking, resolve, retrieval, store
 from .sources import scan, walk
 
 QUERY_PREFIX = ""
+#: How often an embedder that failed is asked.
+INDEX_ATTEMPTS, QUERY_ATTEMPTS = 5, 2
 #: Names that other callers use for the operations' arguments.
 ALIASES = {"repo_path": "repo", "q": "text", "k": "top", "symbol_id": "id"}
 
@@ -50,13 +52,15 @@ class Engine:
     """Operations over one store.
 
     `embed` turns a text column into vectors (null where it failed); the default hashes words and
-    needs no model.  Its name, dimension and query prefix make the version that queries must share
-    with the index.
+    needs no model.  `embed_one`, a function of one text that may fail, is retried instead: five
+    attempts for what is indexed, two for questions.  Model name, dimension and query prefix make the
+    version that queries must share with the index.
     """
 
-    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, model: str = "hashing", dim: int = 256, query_prefix: str = QUERY_PREFIX):
+    def __init__(self, spark: SparkSession, path: str, embed: Callable[[Column], Column] | None = None, model: str = "hashing", dim: int = 256, query_prefix: str = QUERY_PREFIX, embed_one: Callable[[str], list[float]] | None = None):
         self.spark, self.store = spark, store.Store(spark, path)
-        self.embed = embed or vx.hashing_embedder(dim)
+        self.embed = vx.guarded(embed_one, INDEX_ATTEMPTS) if embed_one else embed or vx.hashing_embedder(dim)
+        self.embed_question = vx.guarded(embed_one, QUERY_ATTEMPTS) if embed_one else self.embed
         self.model, self.dim, self.query_prefix = model, dim, query_prefix
         self.tasks: dict[str, Task] = {}
 
@@ -104,6 +108,20 @@ class Engine:
         built = resolve.edge_stats(attempts).agg(F.coalesce(F.sum("resolved"), F.lit(0)).alias("n")).first()["n"]
         return {"symbols_indexed": n["n"] - n["bad"], "edges_built": built}
 
+    def build_graph(self, repo: str, use_aliases: bool = False) -> DataFrame:
+        """Edges and alias declarations of a tree made anew for the symbols that are stored: kind, resolved, unresolved."""
+        files = walk.read_tree(self.spark, repo).withColumn("lang", walk.language_of(F.col("path"))).where("lang = 'typescript'")
+        captures = graph.cut(scan.captures_of(scan.extract(files)))
+        edges, aliases, attempts = resolve.build_edges(self.symbols, captures, use_aliases)
+        attempts = graph.cut(attempts)
+        self.store.write(edges=edges, alias_decls=aliases)
+        return resolve.edge_stats(attempts)
+
+    def embed_snapshot(self, queries: DataFrame) -> DataFrame:
+        """id, role, embedding of every question (id, query), embedded as a question and as a passage."""
+        asked = queries.select("id", F.lit("Query").alias("role"), self.embed_question(F.concat(F.lit(self.query_prefix), F.col("query"))).alias("embedding"))
+        return asked.unionByName(queries.select("id", F.lit("Passage").alias("role"), self.embed(F.col("query")).alias("embedding")))
+
     def query(self, text: str, top: int = 5, alpha: float = retrieval.ALPHA, rerank: Callable[[Column, Column], Column] | None = None) -> DataFrame:
         """The symbols that fit a question best."""
         return self.query_many([("q", text)], top, alpha, rerank).drop("qid")
@@ -114,7 +132,7 @@ class Engine:
         if stored and stored[1] != self.version():
             raise VersionMismatch(f"indexed with {stored[1]}, asked with {self.version()}")
         q = self.spark.createDataFrame(questions, "qid string, query string")
-        q = q.withColumn("embedding", self.embed(F.concat(F.lit(self.query_prefix), F.col("query"))))
+        q = q.withColumn("embedding", self.embed_question(F.concat(F.lit(self.query_prefix), F.col("query"))))
         return retrieval.hit_view(retrieval.hybrid(self.symbols, q, top, alpha, rerank, index=self.store.index()))
 
     def get_symbol(self, id: int) -> DataFrame:  # noqa: A002  the operation's own argument name

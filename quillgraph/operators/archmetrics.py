@@ -49,10 +49,15 @@ def upper_median(values: DataFrame, column: str) -> DataFrame:
     return got.select(F.coalesce("m", F.lit(0)).alias("median"))
 
 
+def declares_module(src: Column, dst: Column) -> Column:
+    """Whether an edge only declares a module; none does so far.  Such edges count for no metric."""
+    return F.lit(False)
+
+
 def file_metrics(edges: DataFrame, nodes: DataFrame, module: Column | None = None, components: DataFrame | None = None) -> DataFrame:
     """node, module, level, blast, out, in_, cross_out, upward: the table that all culprit lists are cut from."""
     module = tx.module_of(F.col("node")) if module is None else module
-    e = edges.select("src", "dst").where("src <> dst").distinct()
+    e = graph.cut(edges.select("src", "dst").where((F.col("src") != F.col("dst")) & ~declares_module(F.col("src"), F.col("dst"))).distinct())
     comp = graph.scc(e, nodes) if components is None else components
     level = graph.levels(e, comp)
     info = nodes.select("node").distinct().withColumn("module", module).join(level, "node")

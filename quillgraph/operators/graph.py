@@ -58,6 +58,12 @@ def nodes_of(edges: DataFrame, *more: DataFrame) -> DataFrame:
     return out.distinct()
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """The edges, written unless they are a written frame already: they are counted before they are used."""
+    written = edges._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRDD"
+    return edges if written else cut(edges.select("src", "dst"))
+
+
 def _is_small(edges: DataFrame, mode: str, most: int = SMALL_EDGES) -> bool:
     """Whether an operator runs in one task: as told, or by a count that stops at the bound."""
     if mode not in ("auto", "task", "joins"):
@@ -111,6 +117,7 @@ def ppr(edges: DataFrame, entries: DataFrame, damping: float = 0.85, rounds: int
     """
     entries = entries.select("node").distinct()
     if mode == "auto":
+        edges = _once(edges)
         mode = "task" if edges.schema["src"].dataType.typeName() in ("long", "integer") and _is_small(edges, "auto") else "joins"
     if mode == "task":
         return _ppr_numpy(edges, entries, damping, rounds)
@@ -180,6 +187,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def blast_radius(edges: DataFrame, nodes: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """node, blast: how many other nodes lead to it, directly or not; a row for every node."""
+    edges = _once(edges)
     if mode == "task" or mode == "auto" and _is_small(edges, mode) and nodes_of(edges, *([nodes] if nodes is not None else [])).count() <= SMALL_NODES:
         return _in_task(edges, nodes, lambda names, s, d: {"node": names, "blast": smallgraph.dependents(s, d, smallgraph.components(s, d, len(names)))}, "node {}, blast long")
     every = nodes_of(edges, *([nodes] if nodes is not None else []))
@@ -227,6 +235,7 @@ def scc(edges: DataFrame, nodes: DataFrame | None = None, mode: str = "auto") ->
     colour, what reaches the node of that name is its component and leaves.  Nodes without open
     in- or out-edges are components of their own and leave first.
     """
+    edges = _once(edges)
     if _is_small(edges, mode):
         return _in_task(edges, nodes, _scc_task, "node {0}, scc {0}")
     every = cut(nodes_of(edges, *([nodes] if nodes is not None else [])))
@@ -270,6 +279,7 @@ def scc(edges: DataFrame, nodes: DataFrame | None = None, mode: str = "auto") ->
 
 def levels(edges: DataFrame, components: DataFrame | None = None, mode: str = "auto") -> DataFrame:
     """node, level: longest path over components to one without outgoing edges; a component's nodes share it."""
+    edges = _once(edges)
     if _is_small(edges, mode):
         return _in_task(edges, components.select("node") if components is not None else None, _levels_task, "node {}, level int")
     comp = cut(components if components is not None else scc(edges, mode=mode))

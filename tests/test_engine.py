@@ -42,6 +42,36 @@ def test_operations(spark, tree, tmp_path):
         assert parse_kinds("Calls, Nope") == ["Calls"]
 
 
+def test_commands(spark, tree, tmp_path, capsys):
+    """build-graph, the embedders' comparison and the guard against an older index; an embedder that fails is asked again."""
+    import json
+
+    from quillgraph import __main__ as cli
+    from quillgraph.functions import vector as vx
+
+    at = str(tmp_path / "store")
+    assert cli.main(["--store", at, "index", str(tree)]) == 0
+    assert cli.main(["--store", at, "build-graph", str(tree)]) == 0
+    said = capsys.readouterr().out
+    assert '{"kind":"Imports","resolved":1,"unresolved":0}' in said and '{"kind":"Calls","n":2}' in said
+    (tmp_path / "q.json").write_text(json.dumps([{"id": "a", "axis": 1, "query": "parse tree", "expected_paths": ["c.py"]}]))
+    q = str(tmp_path / "q.json")
+    assert cli.main(["--store", at, "embed-snapshot", q, "--out", str(tmp_path / "snap")]) == 0
+    assert cli.main(["--store", at, "embed-equivalence", q, "--snapshot", str(tmp_path / "snap")]) == 0
+    other = spark.read.json(str(tmp_path / "snap")).withColumn("embedding", F.transform("embedding", lambda x: -x))
+    other.write.json(str(tmp_path / "other"))
+    assert cli.main(["--store", at, "embed-equivalence", q, "--snapshot", str(tmp_path / "other")]) == 1
+    e = Engine(spark, at)
+    e.store.clear("alias_decls")
+    assert cli.main(["--store", at, "index", str(tree)]) == 2 and "fresh store" in capsys.readouterr().err
+    steady = lambda text: [1.0, float(len(text))]
+    waits = []
+    flaky = vx.guarded(vx.InjectedFault(steady, "once"), 2, sleep=waits.append)
+    assert spark.createDataFrame([("abc",)], "t string").select(flaky(F.col("t"))).first()[0] == [1.0, 3.0]
+    one = Engine(spark, str(tmp_path / "one"), embed_one=steady, model="steady", dim=2)
+    assert one.index_repo(str(tree))["symbols_indexed"] == 5 and one.query("parse_tree", 1).first()["name"] == "parse_tree"
+
+
 def test_version_changes_with_its_parts(spark):
     v = spark.range(1).select(*[tx.version_hash(F.lit(m), F.lit(d), F.lit(p)).alias(n) for n, m, d, p in (("a", "m", 64, "p"), ("b", "m", 65, "p"), ("c", "n", 64, "p"), ("d", "m", 64, "q"))]).first()
     assert len(set(v)) == 4 and len(v["a"]) == 12
