@@ -17,6 +17,7 @@ Group and bucket counts follow the bytes measured, so no group grows with the co
 
 from __future__ import annotations
 
+import hashlib
 import io
 from dataclasses import dataclass
 
@@ -165,30 +166,38 @@ def salted_join(rows: DataFrame, groups: DataFrame, key: str, by: str, how: str
 
 
 def copies(docs: DataFrame, key: str, text: str, groups: int) -> DataFrame:
-    """NOTE rows with the ids of documents whose whole text some smaller id has too.
+    """NOTE rows with id and digest of each document whose whole text some smaller id has too.
 
     Equal texts meet by digest: one pre-aggregated shuffle for the smallest id, one salted join back.
-    The ids go to their own groups.
+    The notes go to the ids' groups; the digest tells the texts of rows that share an id apart.
     """
     slim = docs.select(F.col(key).alias("id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("digest"))
     first = slim.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("digest", "first")
-    later = salted_join(slim, first, "digest", "id").where("id > first").select("id")
+    later = salted_join(slim, first, "digest", "id").where("id > first").select("id", F.unhex("digest").alias("digest"))
 
     def run(batches):
         for batch in tc.each(batches):
             ids = batch.column(0).to_numpy()
             g = group_of(ids, groups)
             order = np.argsort(g, kind="stable")
+            digests = np.frombuffer(b"".join(batch.column(1).to_pylist()), "V32")[order]
             ids, g = ids[order], g[order]
             cut = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else []
-            yield from notes([(int(g[a]), COPIES, squeeze(ids[a:b])) for a, b in zip(cut, [*cut[1:], len(g)], strict=True)]).to_batches()
+            yield from notes([(int(g[a]), COPIES, squeeze(ids[a:b], digests[a:b])) for a, b in zip(cut, [*cut[1:], len(g)], strict=True)]).to_batches()
 
     return later.mapInArrow(run, NOTE)
 
 
-def copy_ids(told: dict[int, list[bytes]]) -> np.ndarray:
-    got = [unsqueeze(x, 1)[0] for x in told.get(COPIES, [])]
-    return np.concatenate(got) if got else np.zeros(0, np.int64)
+def is_copy(doc: Group, told: dict[int, list[bytes]]) -> np.ndarray:
+    """Which of a group's documents repeat a smaller id's whole text."""
+    named = set()
+    for note in told.get(COPIES, []):
+        ids, digests = unsqueeze(note, 2)
+        named |= set(zip(ids.tolist(), digests.tolist(), strict=True))
+    out = np.zeros(len(doc.ids), np.bool_)
+    for i in np.flatnonzero(np.isin(doc.ids, [i for i, _ in named])).tolist():
+        out[i] = (int(doc.ids[i]), hashlib.sha256(doc.text(i)).digest()) in named
+    return out
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -7,8 +7,8 @@ sequence also starts earlier (in a document with a smaller id, or earlier in the
    the index.  A repeated window of 20 words holds a whole block of 10 of *either* side.
 2. Probes: every rolling window of 10 words asks the index.  Groups send each distinct
    probe once, as a 32-bit fingerprint within a hash bucket, flagged when it is a block.
-3. Hits are extended: every window of 20 around a hit is hashed in full and the earliest
-   document of each hash is found; overlapping repeated windows join to maximal repeats.
+3. Hits are extended: every window of 20 around a hit is hashed in full, to 128 bits, and the
+   earliest document of each hash is found; overlapping repeated windows join to maximal repeats.
 
 Steps 2 and 3 only pass (group, distinct hash) entries, never pairs; a passage in a third of
 all documents costs one entry for each group.  Documents that repeat a smaller id's whole
@@ -36,11 +36,8 @@ PROBES = "bucket int, g int, prints binary, flags binary"
 OPEN = "bucket int, g int, data binary"
 OWN = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("text", T.StringType())]
 HITS, GONE = 1, 2
-
-
-def _skip(doc: corpus.Group, told: dict[int, list[bytes]]) -> np.ndarray:
-    """Which documents repeat a smaller id's whole text."""
-    return np.isin(doc.ids, corpus.copy_ids(told))
+#: Base of the second half of a window's hash.
+SECOND = 0xA0761D6478BD642F
 
 
 def _blocks(doc: corpus.Group, skip: np.ndarray, block: int, window: int):
@@ -54,6 +51,13 @@ def _blocks(doc: corpus.Group, skip: np.ndarray, block: int, window: int):
     return h, woff, at, tc.rolling(h, block)[at] if len(at) else np.zeros(0, np.uint64)
 
 
+def _first(full: np.ndarray, wide: np.ndarray) -> np.ndarray:
+    """Where a run of equal 128-bit hashes begins in sorted vectors."""
+    new = np.ones(len(full), bool)
+    new[1:] = (full[1:] != full[:-1]) | (wide[1:] != wide[:-1])
+    return new
+
+
 def _aligned(at: np.ndarray, woff: np.ndarray, block: int) -> np.ndarray:
     first = woff[np.searchsorted(woff, at, "right") - 1]
     return (at - first) % block == 0
@@ -73,7 +77,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def probe(_key, left: pa.Table, right: pa.Table):
         out = {"bucket": [], "g": [], "prints": [], "flags": []}
         if doc := corpus.unpack(left, key):
-            _, woff, at, h = _blocks(doc, _skip(doc, corpus.read_notes(right)), block, window)
+            _, woff, at, h = _blocks(doc, corpus.is_copy(doc, corpus.read_notes(right)), block, window)
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
             new = np.concatenate(([True], h[1:] != h[:-1])) if len(h) else np.zeros(0, np.bool_)
@@ -113,7 +117,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         out = {"bucket": [], "g": [], "data": []}
         told = corpus.read_notes(right)
         if (doc := corpus.unpack(left, key)) and told.get(HITS):
-            h, woff, at, b10 = _blocks(doc, _skip(doc, told), block, window)
+            h, woff, at, b10 = _blocks(doc, corpus.is_copy(doc, told), block, window)
             u = np.unique(b10)
             kind = corpus.bucket_of(u, plan.buckets)
             hit = np.zeros(len(u), bool)
@@ -125,37 +129,36 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
             np.cumsum(found, out=found)
             start = np.flatnonzero(tc.window_starts(woff, window))
             start = start[found[np.minimum(start + window - block + 1, len(h))] > found[start]]
-            full = tc.rolling(h, window)[start]
-            order = np.argsort(full, kind="stable")
-            full, start = full[order], start[order]
-            new = np.concatenate(([True], full[1:] != full[:-1])) if len(full) else np.zeros(0, bool)
+            full, wide = tc.rolling(h, window)[start], tc.rolling(tc.mix(h), window, SECOND)[start]
+            order = np.lexsort((wide, full))
+            full, wide, start = full[order], wide[order], start[order]
+            new = _first(full, wide)
             gone = np.sort(start[~new])  # an earlier start is in this very group
             out["bucket"].append(plan.buckets + doc.g)
             out["g"].append(doc.g)
             out["data"].append(corpus.squeeze(np.diff(gone, prepend=0).astype(np.uint32)))
-            full, start = full[new], start[new]
+            full, wide, start = full[new], wide[new], start[new]
             owner = doc.ids[np.searchsorted(woff, start, "right") - 1]
             for k, a, b in corpus.runs(corpus.bucket_of(full, plan.buckets)):
                 out["bucket"].append(k)
                 out["g"].append(doc.g)
-                out["data"].append(corpus.squeeze(full[a:b], owner[a:b], start[a:b].astype(np.uint32)))
+                out["data"].append(corpus.squeeze(full[a:b], wide[a:b], owner[a:b], start[a:b].astype(np.uint32)))
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("data", pa.binary())]))
 
     def settle(table: pa.Table) -> pa.Table:
         groups, data = table.column("g").to_pylist(), table.column("data").to_pylist()
         if table.column("bucket")[0].as_py() >= plan.buckets:
             return corpus.notes([(g, GONE, x) for g, x in zip(groups, data, strict=True)])
-        parts = [corpus.unsqueeze(x, 3) for x in data]
-        full, owner = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        order = np.lexsort((owner, full))
-        sorted_full = full[order]
-        new = np.concatenate(([True], sorted_full[1:] != sorted_full[:-1]))
+        parts = [corpus.unsqueeze(x, 4) for x in data]
+        full, wide, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((owner, wide, full))
+        new = _first(full[order], wide[order])
         least = owner[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
         late = np.zeros(len(full), bool)
         late[order] = owner[order] > least
         rows, at = [], 0
         for g, p in zip(groups, parts, strict=True):
-            mine = np.sort(p[2][late[at : at + len(p[0])]])
+            mine = np.sort(p[3][late[at : at + len(p[0])]])
             at += len(p[0])
             if len(mine):
                 rows.append((g, GONE, corpus.squeeze(np.diff(mine.astype(np.int64), prepend=0).astype(np.uint32))))
@@ -166,7 +169,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         if not (doc := corpus.unpack(left, key)):
             return arrow.empty_table()
         told = corpus.read_notes(right)
-        skip = _skip(doc, told)
+        skip = corpus.is_copy(doc, told)
         texts = [doc.text(i) for i in range(len(doc.ids))]
         words = [t.split() for t in texts]
         woff = np.concatenate(([0], np.cumsum([len(w) for w in words])))

@@ -9,7 +9,10 @@ also starts in a document with a smaller id.
 2. Anchors that occur in one document only are dropped by a fingerprint exchange.
 3. The rest are dealt by range of their leading 8-byte tokens; the splitters are quantiles of a
    bounded sample of anchors.  A splitter is compared on two whole tokens, so suffixes that agree
-   on them never part, and no equal strings lie on both sides of a boundary.
+   on them never part, and no equal strings lie on both sides of a boundary.  A range that holds
+   several quantiles, since its leading tokens are that common, or that is to hold more than one
+   bucket's bytes, since the corpus is that large, is split further by the whole k-mer, on which
+   equal strings agree too: buckets follow the bytes, the sample does not.
 4. Each bucket sorts its suffixes, and the reversed bytes left of them, by multikey quicksort over
    tokens (ties alone go on to the next token) and reads common prefix lengths off neighbours: two
    strings are equal iff they share a run at depth 50 - j on the right and j on the left.
@@ -38,8 +41,8 @@ from .substring import GONE, HITS, OPEN, PROBES
 
 SPAN = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
 OWN = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("spans", SPAN), T.StructField("kept", T.BinaryType())]
-#: Splitters come from at most this many sampled anchors.
-SPLITTER_SAMPLE = 50_000
+#: Splitters, at most, and the sampled anchors behind each.
+RANGES, SAMPLED = 4096, 16
 
 
 def _slide(a: np.ndarray, width: int, f) -> np.ndarray:
@@ -158,10 +161,16 @@ def shared_windows(ctx: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     return mask
 
 
-def splitters(docs: DataFrame, key: str, text: str, length: int, plan: corpus.Plan) -> np.ndarray:
-    """Quantiles of the leading two tokens of a bounded sample of anchors."""
+def lead_bytes(length: int) -> int:
+    """Two tokens, or the whole k-mer if it is shorter: equal strings agree on no more than that right of their anchor."""
+    return min(16, length // 2 + 1)
+
+
+def splitters(docs: DataFrame, key: str, text: str, length: int, plan: corpus.Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Quantiles of the leading two tokens of a bounded sample of anchors, and the first bucket of each range and of what would follow the last."""
+    ranges = min(plan.buckets, RANGES)
     every = max(1, plan.rows // 2000)
-    left = length - length // 2 - 1
+    left, lead = length - length // 2 - 1, lead_bytes(length)
 
     def run(batches):
         for batch in tc.each(batches):
@@ -169,13 +178,14 @@ def splitters(docs: DataFrame, key: str, text: str, length: int, plan: corpus.Pl
             at, _ = anchors(buf, off, length)
             at = at[:: max(1, len(at) // 4096)]
             doc = corpus.Group(0, None, np.zeros(0, np.int64), buf, off)
-            rows = contexts(doc, at, length)[:, left : left + 16]
+            rows = contexts(doc, at, length)[:, left : left + lead]
             yield pa.RecordBatch.from_pydict({"k": pa.array([x.tobytes() for x in rows], pa.binary())})
 
     keys = docs.where(F.pmod(F.xxhash64(F.col(key)), F.lit(every)) == 0).select(text).mapInArrow(run, "k binary")
-    got = sorted(bytes(r["k"]) for r in keys.orderBy(F.xxhash64("k")).limit(SPLITTER_SAMPLE).collect())
-    cuts = [got[len(got) * i // plan.buckets] for i in range(1, plan.buckets)] if got else []
-    return np.unique(np.array(cuts, "S16"))
+    got = sorted(bytes(r["k"]) for r in keys.orderBy(F.xxhash64("k")).limit(ranges * SAMPLED).collect())
+    cuts = [got[len(got) * i // ranges] for i in range(1, ranges)] if got else []
+    cuts, times = np.unique(np.array(cuts, f"S{lead}"), return_counts=True)
+    return cuts, np.concatenate(([0], np.cumsum(np.concatenate(([1], times)) * -(-plan.buckets // ranges))))
 
 
 def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 50) -> DataFrame:
@@ -187,12 +197,13 @@ def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
     schema, keep = corpus.schema_with(docs, {text}, OWN)
     packed = corpus.pack(docs, key, text, plan.groups)
     copied = corpus.copies(docs, key, text, plan.groups)
-    cuts = splitters(docs, key, text, length, plan)
-    left = length - length // 2 - 1
+    cuts, begin_at = splitters(docs, key, text, length, plan)
+    buckets = int(begin_at[-1])
+    left, width = length - length // 2 - 1, lead_bytes(length)
 
     def _anchors(doc: corpus.Group, told) -> tuple[np.ndarray, np.ndarray]:
         at, h = anchors(doc.buf, doc.off, length)
-        skip = np.isin(doc.ids, corpus.copy_ids(told))
+        skip = corpus.is_copy(doc, told)
         if skip.any():
             live = ~skip[np.searchsorted(doc.off, at, "right") - 1]
             at, h = at[live], h[live]
@@ -247,7 +258,8 @@ def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
             for note in told[HITS]:
                 a, b = np.searchsorted(kind, [(k := int(np.frombuffer(note, np.int32, 1)[0])), k + 1])
                 hit[a:b] = np.unpackbits(np.frombuffer(note, np.uint8, offset=4))[: b - a].astype(bool)
-            at = at[np.isin(h, u[hit])]
+            among = np.isin(h, u[hit])
+            at, h = at[among], h[among]
             ctx = contexts(doc, at, length)
             owner = doc.ids[np.searchsorted(doc.off, at, "right") - 1]
             t = tokens(ctx)
@@ -257,12 +269,13 @@ def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
             settled = (owner > owner[lead]) & (ctx == ctx[lead]).all(axis=1)
             j = np.arange(left + 1)
             full = (((ctx[:, -2][:, None] >= j) & (ctx[:, -1][:, None] >= length - j)) << j).sum(axis=1).astype(np.uint32)
-            out["bucket"].append(plan.buckets + doc.g)
+            out["bucket"].append(buckets + doc.g)
             out["g"].append(doc.g)
             out["data"].append(corpus.squeeze(at[settled].astype(np.uint32), full[settled]))
-            at, ctx, owner = at[~settled], ctx[~settled], owner[~settled]
-            lead_tokens = np.ascontiguousarray(ctx[:, left : left + 16]).view("S16").ravel()
-            k = np.searchsorted(cuts, lead_tokens, "right").astype(np.int32)
+            at, h, ctx, owner = at[~settled], h[~settled], ctx[~settled], owner[~settled]
+            lead_tokens = np.ascontiguousarray(ctx[:, left : left + width]).view(f"S{width}").ravel()
+            r = np.searchsorted(cuts, lead_tokens, "right")
+            k = (begin_at[r] + (tc.mix(h) % np.diff(begin_at)[r].astype(np.uint64)).astype(np.int64)).astype(np.int32)
             order = np.argsort(k, kind="stable")
             for b, x, y in corpus.runs(k[order]):
                 mine = order[x:y]
@@ -273,7 +286,7 @@ def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
 
     def settle(table: pa.Table) -> pa.Table:
         groups, data = table.column("g").to_pylist(), table.column("data").to_pylist()
-        if table.column("bucket")[0].as_py() >= plan.buckets:
+        if table.column("bucket")[0].as_py() >= buckets:
             return corpus.notes([(g, GONE, x) for g, x in zip(groups, data, strict=True)])
         parts = [corpus.unsqueeze(x, 3) for x in data]
         mask = shared_windows(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), length)
@@ -301,7 +314,7 @@ def remove_shared_bytes(docs: DataFrame, key: str = "doc_id", text: str = "text"
                 begins[at[(mask >> np.uint32(j)) & np.uint32(1) > 0] - j] = True
         gone = corpus.covered(begins, length)
         n_bytes = np.diff(doc.off)
-        for i in np.flatnonzero(np.isin(doc.ids, corpus.copy_ids(told)) & (n_bytes >= length)):
+        for i in np.flatnonzero(corpus.is_copy(doc, told) & (n_bytes >= length)):
             gone[doc.off[i] : doc.off[i + 1]] = True
         before = np.concatenate(([0], np.cumsum(gone)))
         edge = np.zeros(size + 1, bool)

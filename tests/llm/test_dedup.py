@@ -196,3 +196,38 @@ def test_contract_columns(spark, tmp_path, docs, known):
     for i, n, gone, text in repeats_by_hand(known, 20):
         if i not in (303, 103):
             assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (n, gone, hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_copies_under_shared_ids(spark):
+    """A text that shares its id with a copy, but is none, keeps all of its words and bytes."""
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (7, None), (9, a), (9, a)], "doc_id long, text string").repartition(3)
+    known = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+    got = substring.remove_repeats(docs).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["text"]) for r in got) == Counter(repeats_by_hand(known, 20))
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got)[(5, 0)] == 1
+    got = suffix.remove_shared_bytes(docs).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == Counter(shared_by_hand(known, 50))
+    assert Counter((r["doc_id"], r["n_removed"]) for r in got)[(5, 0)] == 1
+
+
+def test_windows_of_equal_hash():
+    """Windows whose first 64 bits agree are told apart by the second."""
+    full, wide = np.array([7, 7, 7, 9], np.uint64), np.array([1, 1, 2, 2], np.uint64)
+    assert substring._first(full, wide).tolist() == [True, False, True, True]
+
+
+def test_buckets_follow_the_bytes(spark, docs, monkeypatch):
+    """Ranges are bounded, buckets are not: common leading tokens and large corpora are split by the whole k-mer; the result stays."""
+    x = suffix.corpus.usable(docs, "doc_id")
+    plan = suffix.corpus.Plan(3, 64, 10**6, docs.count())
+    cuts, begin = suffix.splitters(x, "doc_id", "text", 50, plan)
+    assert len(begin) == len(cuts) + 2 and begin[-1] == 64 and (np.diff(begin) >= 1).all()
+    monkeypatch.setattr(suffix, "RANGES", 8)
+    cuts, begin = suffix.splitters(x, "doc_id", "text", 50, plan)
+    assert len(cuts) <= 7 and begin[-1] == 64
+    measure = suffix.corpus.measure
+    monkeypatch.setattr(suffix.corpus, "measure", lambda *a: suffix.corpus.Plan(measure(*a).groups, 64, 10**6, 100))
+    known = sorted((r["doc_id"], r["text"] or "") for r in x.collect())
+    got = suffix.remove_shared_bytes(docs).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == Counter(shared_by_hand(known, 50))
