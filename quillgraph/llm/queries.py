@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licences
+from . import licences, warc
 from .decontaminate import op8_decontamination
 from .langid import op9_language_id
 from .licences import op4_licence_scan
@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_scan": licences.oracle()}
+    return {"op4_licence_scan": licences.oracle(), "op7_warc_revisits": warc.oracle()}

@@ -1,14 +1,17 @@
 """Web archives without repeated payloads (operator 7): revisit resolution.
 
-``write_archives`` shuffles headers alone (page, digest, length) by payload digest.  Of pages with
-equal payloads of at least ``LEAST_BYTES`` the smallest page_id is written as a ``response``, the
-others as ``revisit`` records that refer to its record id and carry no payload.  Every record gets
-fresh headers.  Spark writes the archives as gzip WARC/1.1 files of many records each, on whatever
-file system the shared folder is on, and retries of lost tasks leave no partial file.
-
-``read_archives`` takes the files as they are, walks each by Content-Length (a payload may hold
-anything, record headers included), checks digests, and joins revisits to their originals by
-record id.
+``write_archives`` shuffles headers (page, digest, length) by payload digest: of pages with equal
+payloads of at least ``LEAST_BYTES`` the smallest page_id is written as a ``response``, the others
+as ``revisit`` records that refer to its record id and carry no payload.  A digest may be that of a
+third of all pages: counts meet pre-aggregated, and its pages are joined to its original in 32
+places.  The verdicts then meet the payloads by page, which moves every payload once.  Every record
+gets fresh headers and is a gzip member of its own; a file holds whole members of ``FILE_BYTES`` or
+one larger one.  Spark's writer names and commits the files (part-*) on whatever file system the shared folder is on,
+so retries of lost tasks leave no partial file.
+
+``read_archives`` takes the files as they are, member by member, walks each by Content-Length (a
+payload may hold anything, record headers included), checks digests, and joins revisits to their
+originals by record id, in 32 places again.
 
 Edge cases: a null payload is empty; rows with a null page_id are left out; rows that repeat a
 page_id are records each, and equal payloads under the smallest id are all responses; a url that is
@@ -18,19 +21,26 @@ other than the three are ignored.
 
 from __future__ import annotations
 
-import gzip
 import hashlib
 import uuid
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import state
+from . import corpus, state
+from . import textcore as tc
 
 LEAST_BYTES = 100
-#: Records in one file at most; a file is read as one value.
-FILE_RECORDS = 5_000
+#: Bytes of a file, compressed, unless one record has more; a file is read as one value.
+FILE_BYTES = 16 << 20
+#: Bytes inflated at a time.
+CHUNK = 16 << 10
+#: Payload bytes of one batch of records read.
+READ_BYTES = 8 << 20
+#: An empty gzip member.  Like that of every record below 16 MB its last byte is zero.
+EMPTY = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ = "page_id long, url string, record_id string, record_type string, header_digest string, refers_to_id string, payload_bytes long, payload_digest string, payload string"
 
@@ -42,7 +52,7 @@ def record_id(page: Column, digest: Column) -> Column:
 
 
 def _records(rows: DataFrame, date: str) -> Column:
-    """The text of a record without its last line end, which the writer adds."""
+    """The text of a record."""
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(F.col("first").isNull(), F.concat(http, F.col("payload"))).otherwise(http)
@@ -59,7 +69,29 @@ def _records(rows: DataFrame, date: str) -> Column:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return F.concat(head, block, F.lit("\r\n"))
+    return F.concat(head, block, F.lit("\r\n\r\n"))
+
+
+def _members(batches):
+    """Rows of whole gzip members, one for each record, less their last byte, which the writer's line end puts back."""
+
+    def row(parts: list[bytes]) -> pa.RecordBatch:
+        body = b"".join(parts)
+        body = body if body.endswith(b"\0") else body + EMPTY
+        return pa.RecordBatch.from_arrays([pa.array([body[:-1]], pa.binary())], ["value"])
+
+    wait, size = [], 0
+    for batch in tc.each(batches):
+        for record in batch.column(0):
+            deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
+            member = deflate.compress(record.as_buffer()) + deflate.flush()
+            if wait and size + len(member) > FILE_BYTES:
+                yield row(wait)
+                wait, size = [], 0
+            wait.append(member)
+            size += len(member)
+    if wait:
+        yield row(wait)
 
 
 def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", date: str = "2024-01-01T00:00:00Z") -> None:
@@ -70,37 +102,65 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", url: str =
     rows = rows.withColumn("digest", F.sha2(F.col("payload"), 256)).withColumn("n", F.octet_length("payload"))
     heads = rows.select("page_id", "digest", "n").where(F.col("n") >= LEAST_BYTES)
     first = heads.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    again = heads.select("page_id", "digest").join(first, "digest").where("page_id > first").dropDuplicates(["page_id", "digest"])
+    again = corpus.salted_join(heads.select("page_id", "digest"), first, "digest", "page_id").where("page_id > first").dropDuplicates(["page_id", "digest"])
+    state.tune(pages.sparkSession)
     text = rows.join(again, ["page_id", "digest"], "left")
-    text.select(_records(text, date).alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    files = text.select(_records(text, date).alias("value")).mapInArrow(_members, "value binary")
+    # a row is a file; the text writer takes its bytes as they are
+    files.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+def _inflated(data: bytes):
+    """The content of each gzip member of an archive, or of a plain one as it is."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    view, at = memoryview(data), 0
+    while at < len(view):
+        inflate, out = zlib.decompressobj(31), []
+        while not inflate.eof:
+            if at >= len(view):
+                raise ValueError("a gzip member is cut off")
+            part = view[at : at + CHUNK]
+            out.append(inflate.decompress(part))
+            at += len(part) - len(inflate.unused_data)
+        yield b"".join(out)
 
 
 def parse(data: bytes):
-    """(headers, block) of every record of an archive; gzip or plain."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        if not data.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")[1:]
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        size = int(headers["content-length"])
-        block = data[stop + 4 : stop + 4 + size]
-        if len(block) != size:
-            raise ValueError("a record is cut off")
-        yield headers, block
-        at = stop + 4 + size + 4
+    """(headers, block) of every record of an archive; gzip, of one member or many, or plain."""
+    rest = b""
+    for part in _inflated(data):
+        part = rest + part if rest else part
+        at = 0
+        while at < len(part):
+            stop = part.find(b"\r\n\r\n", at)
+            if not part.startswith(b"WARC/"[: len(part) - at], at):
+                raise ValueError(f"no record at byte {at}")
+            if stop < 0:
+                break
+            lines = part[at:stop].decode().split("\r\n")[1:]
+            headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+            end = stop + 4 + int(headers["content-length"])
+            if end + 4 > len(part):  # goes on in the next member
+                break
+            yield headers, part[stop + 4 : end]
+            at = end + 4
+        rest = part[at:]
+    if rest:
+        raise ValueError("a record is cut off")
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """READ rows as the files have them: a revisit's payload columns are null."""
 
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    shape = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in READ.split(", "))])
+
     def run(batches):
-        for batch in batches:
+        for batch in tc.each(batches):
             for data in batch.column(0):
-                out = {name.split()[0]: [] for name in READ.split(", ")}
+                out, size = {n: [] for n in shape.names}, 0
                 for h, block in parse(data.as_py()):
                     body = block[block.index(b"\r\n\r\n") + 4 :] if h["warc-type"] == "response" else None
                     digest = body is not None and hashlib.sha256(body).hexdigest()
@@ -110,7 +170,11 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     row = (int(h["x-page-id"]), h["warc-target-uri"], h["warc-record-id"], h["warc-type"], told, h.get("warc-refers-to"), None if body is None else len(body), digest or None, body.decode() if with_payload and body is not None else None)
                     for name, value in zip(out, row, strict=True):
                         out[name].append(value)
-                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in (x.split() for x in READ.split(", "))]))
+                    size += 200 + len(row[-1] or "")
+                    if size > READ_BYTES:
+                        yield pa.RecordBatch.from_pydict(out, schema=shape)
+                        out, size = {n: [] for n in shape.names}, 0
+                yield pa.RecordBatch.from_pydict(out, schema=shape)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
@@ -122,10 +186,24 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     source = rows.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest", "payload").dropDuplicates(["refers_to_id"])
     if not with_payload:
         own, source = own.drop("payload"), source.drop("payload")
-    again = rows.where("record_type = 'revisit'").select("page_id", "url", "record_type", "refers_to_id").join(source, "refers_to_id", "left")
+    again = rows.where("record_type = 'revisit'").select("page_id", "url", "record_type", "refers_to_id")
+    source = source.join(again.select("refers_to_id").distinct(), "refers_to_id", "left_semi")
+    again = corpus.salted_join(again, source, "refers_to_id", "page_id", "left")
     return own.unionByName(again.drop("refers_to_id"))
 
 
+def oracle() -> str:
+    """What the archives say when read back, in DuckDB SQL."""
+    return f"""
+    WITH body AS (SELECT page_id, coalesce(html, '') AS payload FROM pages WHERE page_id IS NOT NULL),
+    told AS (SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest FROM body),
+    lead AS (SELECT payload_digest, min(page_id) AS original FROM told WHERE payload_bytes >= {LEAST_BYTES} GROUP BY payload_digest)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id > original THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN page_id > original THEN original END AS refers_to
+    FROM told LEFT JOIN lead USING (payload_digest)"""
+
+
 def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:
     path = f"{state.shared_dir(spark)}/archives-{uuid.uuid4().hex}"
     write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
