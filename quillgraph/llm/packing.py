@@ -7,9 +7,11 @@ the open bin that satisfies all three and scores best, by the weighted norm of w
 (``rule="norm"``) or by the weighted dot product of the piece and what is left (``rule="dot"``).
 
 Pieces are placed longest first, in groups of about ``GROUP_PIECES`` dealt by hash, whose number
-follows a count of the pieces.  What the groups leave in bins under ``FULL`` is dealt anew into
-fewer groups until one is left, so the number of groups costs no sequences.  Only ids and lengths
-are shuffled.  Tokenising keeps a bounded table of the tokens of white-space separated chunks: the
+follows a count of the pieces.  What the groups leave in bins under ``FULL`` is dealt anew by
+another hash, until one group holds it all or a round no longer saves one bin in ``GAIN``: then
+the pieces fill no bin (as when all are longer than half a sequence), and meeting in one task would
+not help them.  So the number of groups costs next to no sequences, and no group grows with the
+corpus.  Only ids and lengths are shuffled.  Tokenising keeps a bounded table of the tokens of white-space separated chunks: the
 vocabulary's own rules never join signs across white space, so chunks can be encoded alone.
 
 Edge cases: null and empty texts are one end id; rows with a null id are left out; rows that share
@@ -32,6 +34,8 @@ END, LENGTH = 1, 4096
 GROUP_PIECES = 4_000
 #: A bin filled to this share stays as it is; the pieces of others are placed again with those of other groups.
 FULL = 0.98
+#: Bins under FULL are placed again as long as that saves one of so many.
+GAIN = 50
 #: Chunks whose tokens a Python worker remembers; others are encoded again when they come.
 CACHE = 300_000
 _loaded: dict[str, Chunks] = {}
@@ -229,21 +233,21 @@ def place(pieces: DataFrame, length: int = LENGTH, most_documents: int | None =
     names = pieces.columns
     key = names[0]
     shape = ", ".join(f"`{n}` {t}" for n, t in pieces.dtypes) + ", sequence_id long, offset long, fill long"
-    left, count, first, done = pieces, pieces.count(), 0, None
+    left, count, first, done, bins, turn = pieces, pieces.count(), 0, None, None, 0
     while True:
         groups = count // GROUP_PIECES + 1
-
-        dealt = left.withColumn("dealt_to", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)).cast("int"))
+        dealt = left.withColumn("dealt_to", F.pmod(F.xxhash64(key, "piece", "ids_crc32", F.lit(turn)), F.lit(groups)).cast("int"))
         placed = dealt.groupBy("dealt_to").applyInArrow(_placer(first, names, capacity, weights, rule), shape)
-        first += groups
         if groups == 1:
             return (placed if done is None else done.unionByName(placed)).drop("fill")
         placed = state.cut(placed)
         loose = F.col("fill") < FULL * length
+        count, now = placed.where(loose).agg(F.count(F.lit(1)), F.count(F.when(F.col("offset") == 0, 1))).first()
+        if not count or (bins is not None and now > bins - bins // GAIN - 1):
+            return (placed if done is None else done.unionByName(placed)).drop("fill")
         full = placed.where(~loose)
         done = full if done is None else done.unionByName(full)
-        left = placed.where(loose).select(names)
-        count = min(left.count(), (groups - 1) * GROUP_PIECES // 2)  # at most half as many groups each time
+        left, bins, first, turn = placed.where(loose).select(names), now, first + groups, turn + 1
 
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, vocabulary: str | None = None, with_ids: bool = False, **limits) -> DataFrame:
