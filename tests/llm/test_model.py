@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import math
 import re
@@ -5,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,15 +179,44 @@ def test_warc(spark, tmp_path):
     want = Counter((i, len(h), hashlib.sha256(h).hexdigest(), "revisit" if len(h) >= 100 and first[h] < i else "response", first[h] if len(h) >= 100 and first[h] < i else None, h.decode()) for i, h in known)
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"], r["payload"]) for r in got) == want
     assert {r["url"] for r in got if r["page_id"] == 9} == {"urn:page:9"}
-    names = [f for f in (tmp_path / "out").iterdir() if f.name.endswith(".gz")]
+    names = [f for f in (tmp_path / "out").iterdir() if f.name.startswith("part-")]
     data = b"".join(f.read_bytes() for f in names)
     records = [r for f in names for r in warc.parse(f.read_bytes())]
+    assert [len(list(warc.parse(m))) for f in names for m in warc._inflated(f.read_bytes()) if m] == [1] * len(known)
+    assert all(list(warc.parse(gzip.decompress(f.read_bytes()))) == list(warc.parse(f.read_bytes())) for f in names)
     assert len(records) == len(known) and len(data) > 0 and len({h["warc-record-id"] for h, _ in records}) == len(set((i, h) for i, h in known))
     empty = str(tmp_path / "none")
     warc.write_archives(pages.where("false"), empty)
     assert warc.read_archives(spark, empty).count() == 0
 
 
+def test_warc_files_by_bytes(spark, tmp_path, monkeypatch):
+    """A file holds whole records; one of 16 MB and more, whose member may end in any byte, is closed by an empty member."""
+    rows = [(i, "u", f"{i}" * (40 + i)) for i in range(60)] + [(99, "u", "ab" * (9 << 20))]
+    members = list(warc._members([pa.record_batch([pa.array([h for *_, h in rows])], ["v"])]))
+    assert len(members) == 1 and len(list(warc._inflated(members[0].column(0)[0].as_py() + b"\0"))) == 62
+    monkeypatch.setattr(warc, "FILE_BYTES", 300)
+    members = [m.column(0)[0].as_py() + b"\0" for m in warc._members([pa.record_batch([pa.array([h for *_, h in rows])], ["v"])])]
+    assert len(members) > 5 and [x.decode() for m in members for x in warc._inflated(m) if x] == [h for *_, h in rows]
+    path = str(tmp_path / "out")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    assert sorted((r["page_id"], r["payload"]) for r in warc.read_archives(spark, path).collect()) == [(i, h) for i, _, h in rows]
+
+
+def test_warc_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(5, "x" * 100), (2, "x" * 100), (9, "y" * 99), (3, "y" * 99), (4, None), (6, ""), (7, "é" * 50), (8, "é" * 50), (2, "x" * 100), (None, "x" * 100)]
+    spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op7_warc_revisits(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    cur = con.execute(warc.oracle())
+    names = [c[0] for c in cur.description]
+    assert names == got.columns
+    assert Counter(map(tuple, cur.fetchall())) == Counter(map(tuple, got.collect()))
+
+
 def test_warc_notices_damage(tmp_path):
     with pytest.raises(ValueError, match="cut off"):
         list(warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab"))
@@ -208,12 +239,97 @@ def test_every_learning_document_moves_the_weights(spark, monkeypatch):
     plan = lm.corpus.measure(x, "text", lm.GROUP_BYTES)
     path = lm.packing.default_vocabulary()
     packed = lm.corpus.pack(x, "doc_id", "text", plan.groups)
-    answers = lm.state.cut(lm.counts(packed, plan, "doc_id", path))
+    answers, *_ = lm.counts(packed, plan, "doc_id", path)
+    answers = lm.state.cut(answers)
     size = len(lm.packing.chunks(path, lm.CACHE).ends_word) + 1
     tokens = lm.subword_counts(answers, size)
-    fitted = lambda docs, all_docs: lm.fit(docs, all_docs, answers, plan, "doc_id", "text", path, tokens)[0].p
-    whole = fitted(x, packed)
+    def fitted(rows):
+        groups = lm.counts(lm.corpus.pack(rows, "doc_id", "text", plan.groups), plan, "doc_id", path)[1]
+        return lm.fit(x, groups, answers, plan, "doc_id", "text", path, tokens)[0].p
+
+    whole = fitted(x)
     short = x.where(f"doc_id <> {learn[0]}")
     public = x.where(f"doc_id <> {held.index(True)}")
-    assert any((whole[k] != w).any() for k, w in fitted(x, lm.corpus.pack(short, "doc_id", "text", plan.groups)).items())
-    assert all((whole[k] == w).all() for k, w in fitted(x, lm.corpus.pack(public, "doc_id", "text", plan.groups)).items())
+    assert any((whole[k] != w).any() for k, w in fitted(short).items())
+    assert all((whole[k] == w).all() for k, w in fitted(public).items())
+
+
+def test_scores_by_hand(spark, docs, known, tokenizer, monkeypatch):
+    """Every document's score from the fitted weights in plain loops: a softmax over groups and one over the group's classes, token by token."""
+    kept = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a: kept.append(fit(*a)) or kept[-1])
+    got = Counter((r["doc_id"], r["n_subwords"], round(r["score"], 2)) for r in lm.lm_scores(docs).collect())
+    model, cls, within = kept[0]
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    end = len(cls) - 1
+
+    def one(t):
+        ids = [*tokenizer.encode(t.translate(LOWER), add_special_tokens=False).ids, end]
+        c = [attention.START, *(int(cls[i]) for i in ids)]
+        total = 0.0
+        for k, i in enumerate(ids):  # predicts token k from what stands before it
+            begin = max(0, (k // attention.STRIDE - 1) * attention.STRIDE)
+            first = (k // attention.STRIDE) * attention.STRIDE
+            x = {j: p["e"][c[j]] + p["pos"][attention.STRIDE + j - first] for j in range(begin, k + 1)}
+            q = x[k] @ p["q"] / math.sqrt(attention.DIM)
+            a = np.exp([q @ (x[j] @ p["k"]) for j in x])
+            h = sum(w * (x[j] @ p["v"]) for w, j in zip(a / a.sum(), x, strict=True)) + x[k]
+            h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+            target = int(cls[i])
+            g, m = divmod(target, attention.PER)
+            zg = h @ p["ug"] + model.by_group[c[k]]
+            zc = h @ p["uc"][:, g * attention.PER : (g + 1) * attention.PER] + model.by_class[c[k], g]
+            total += zg[g] - np.log(np.exp(zg).sum()) + zc[m] - np.log(np.exp(zc).sum()) + within[c[k] // attention.PER, i]
+        return len(ids), total / math.log(10)
+
+    want = [(i, *one(t)) for i, t in known if i < 40 or i >= 300]
+    for i, n, score in want:
+        assert any(a == i and b == n and abs(s - score) <= 0.02 + 1e-4 * abs(score) for a, b, s in got), (i, n, score)
+
+
+def test_attention_carries_the_result(spark):
+    """On the driver's documents the attention layer lowers the loss of held-out texts against its own output set to zero."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    kept = []
+    fit = lm.fit
+
+    def spy(*a):
+        kept.append(fit(*a))
+        return kept[-1]
+
+    def held_out(f):
+        lm.fit = f
+        try:
+            return lm.lm_scores(docs).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        finally:
+            lm.fit = fit
+
+    with_attention = held_out(spy)[0]
+    model, cls, within = kept[0]
+    without = attention.Model({k: np.zeros_like(v) if k in ("ug", "uc") else v for k, v in model.p.items()}, model.by_group, model.by_class)
+    assert with_attention > held_out(lambda *a: (without, cls, within))[0]
+
+
+def test_unfillable_pieces_do_not_meet_in_one_task(spark, monkeypatch):
+    """Pieces of over half a sequence fill no bin; they stay in bounded groups and cost no more sequences than they must."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    sizes = [2500] * 1000 + [1500]
+    pieces = spark.createDataFrame([(i, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece int, length long, ids_crc32 long").repartition(3)
+    got = packing.place(pieces)
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(1001)) and len({r["sequence_id"] for r in rows}) == 1000
+    groups = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert max(groups.values()) <= 200 and len(groups) >= 10
+
+
+def test_leftovers_meet_where_that_saves_bins(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    r = np.random.default_rng(3)
+    sizes = r.integers(1, 1200, 900).tolist()
+    pieces = spark.createDataFrame([(i, 0, n, i) for i, n in enumerate(sizes)], "doc_id long, piece int, length long, ids_crc32 long").repartition(3)
+    rows = packing.place(pieces).collect()
+    fill = Counter()
+    for x in rows:
+        fill[x["sequence_id"]] += x["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(sizes) // 4096) + 2
