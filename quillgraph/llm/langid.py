@@ -34,7 +34,7 @@ LEAST = 4 / DIMENSIONS**0.5
 #: Texts of fewer signs are not judged by their cosine.
 SHORT = 20
 #: Bytes of text whose profiles are made at once.
-PORTION = 1 << 18
+PORTION = 1 << 19
 UNKNOWN = "und"
 _shift = np.random.Generator(np.random.PCG64(SEED)).permutation(DIMENSIONS)
 _letters: dict[int, np.ndarray] = {}
