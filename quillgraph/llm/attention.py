@@ -23,8 +23,8 @@ CLASSES = GROUPS * PER
 START, PAD = CLASSES, CLASSES + 1
 #: Weight of the distribution that counts are smoothed with.
 SMOOTH = 5.0
-#: The weights above the attention layer.
-UPPER = ("w1", "b1", "w2", "ug", "uc")
+#: Consecutive blocks that training takes together, the rate it starts with, and the steps until that is reached.
+STRIP, RATE, WARM = 16, 0.03, 25
 #: Blocks scored at once: their scores fit a processor's cache.
 BATCH = 128
 _Q = np.arange(STRIDE)[:, None]
@@ -32,6 +32,7 @@ _K = np.arange(2 * STRIDE)[None, :]
 #: Which keys a query sees: itself and what is before it; in a text's first block nothing of the padding.
 SEES = (_K <= _Q + STRIDE).astype(np.float32)
 SEES_FIRST = (SEES * (_K >= STRIDE)).astype(np.float32)
+_SEES = np.stack([SEES.T, SEES_FIRST.T])
 
 
 def classes(counts: np.ndarray, ends_word: np.ndarray) -> np.ndarray:
@@ -106,43 +107,53 @@ class Model:
         pv = np.concatenate([pos @ p["v"], np.zeros((len(pos), 1), np.float32)], axis=1)
         return e, pos[STRIDE:], e @ p["q"] * s, pos[STRIDE:] @ p["q"] * s, e @ p["k"], pos @ p["k"], tv, pv
 
-    def attended(self, x: np.ndarray, r: np.ndarray, lead: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
-        """What the attention layer makes of the windows that end in the blocks r, and these blocks."""
+    def attended(self, c: np.ndarray, see: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+        """What the attention layer makes of strips (consecutive blocks, the first only context), and what its gradient needs.
+
+        Keys stand by queries, in `see` too: numpy's small products are fast if the second factor is not
+        transposed.  A block's keys and values are looked up once for both windows it is in.
+        """
         e, pe, tq, pq, tk, pk, tv, pv = tables
-        c = x[r]
-        w = np.concatenate([x[r - 1], c], axis=1)
-        a = np.matmul(np.take(tq, c, axis=0) + pq, (np.take(tk, w, axis=0) + pk).transpose(0, 2, 1))
-        np.minimum(a, 60, out=a)
+        own = c[:, 1:].reshape(-1, STRIDE)
+
+        def windows(table, place):
+            rows = np.take(table, c, axis=0)
+            shape = (len(c), c.shape[1] - 1, 2 * STRIDE, table.shape[1])
+            return (np.lib.stride_tricks.as_strided(rows, shape, rows.strides, writeable=False) + place).reshape(-1, *shape[2:])
+
+        q, k, v = np.take(tq, own, axis=0), windows(tk, pk), windows(tv, pv)
+        q += pq
+        a = np.matmul(k, np.ascontiguousarray(q.transpose(0, 2, 1)))
+        np.clip(a, -60, 60, out=a)  # so that no exponential overflows and no sum of them is zero
         np.exp(a, out=a)
-        a *= SEES
-        if lead[r].any():
-            a[lead[r]] *= SEES_FIRST
-        o = np.matmul(a, np.take(tv, w, axis=0) + pv)
-        h = o[:, :, :DIM] / o[:, :, DIM:]
-        h += np.take(e, c, axis=0)
+        a *= see
+        o = np.matmul(a.transpose(0, 2, 1), v)
+        whole = o[:, :, DIM:]
+        o = o[:, :, :DIM] / whole
+        h = np.take(e, own, axis=0)
         h += pe
-        return h, c
+        h += o
+        return h.reshape(-1, DIM), own.reshape(-1), q, k, v, a, o, whole
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray, lead: np.ndarray) -> np.ndarray:
         """log P(class | context) of every target, in order; padded places are left out."""
         p, tables = self.p, self.tables()
-        rows = np.flatnonzero(scored)
         hidden, out, before, target = [], [], [], []
-        for i in range(0, len(rows), BATCH):
-            r = rows[i : i + BATCH]
-            h, c = self.attended(x, r, lead, tables)
-            t = y[r]
-            live = t >= 0
-            h = h[live]
+        for i in range(1, len(x), BATCH):
+            c = x[None, i - 1 : i + BATCH].astype(np.int64)
+            h, b, *_ = self.attended(c, np.take(_SEES, lead[i : i + BATCH].astype(np.int64), axis=0), tables)
+            t = y[i : i + BATCH].reshape(-1)
+            live = np.flatnonzero(t >= 0)
+            h = np.take(h, live, axis=0)
             f = h @ p["w1"]
             f += p["b1"]
             np.maximum(f, 0, out=f)
             h += f @ p["w2"]
             hidden.append(h)
-            before.append(c[live])
+            before.append(b[live])
             target.append(t[live])
-            if len(hidden) == 4 or i + BATCH >= len(rows):
-                out.append(self._classes(np.concatenate(hidden), np.concatenate(before).astype(np.int64), np.concatenate(target).astype(np.int64)))
+            if len(hidden) == 4 or i + BATCH >= len(x):
+                out.append(self._classes(np.concatenate(hidden), np.concatenate(before), np.concatenate(target).astype(np.int64)))
                 hidden, before, target = [], [], []
         return np.concatenate(out) if out else np.zeros(0, np.float32)
 
@@ -162,12 +173,15 @@ class Model:
         out[order] += _log_softmax_at(z, target - group * PER)
         return out
 
-    def upper(self, h: np.ndarray, before: np.ndarray, target: np.ndarray, back: bool = True) -> tuple[float, dict[str, np.ndarray], np.ndarray | None]:
-        """Mean loss of what the attention layer made, its gradient in the layers above, and that in h; the first and the last only if asked for."""
-        p, n = self.p, max(len(h), 1)
-        order = np.argsort((target // PER).astype(np.uint8), kind="stable")
-        h, before, target = h[order], before[order], target[order]
-        group, hit, at = target // PER, target % PER, np.arange(len(h))
+    def upper(self, h: np.ndarray, before: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray], np.ndarray]:
+        """Mean loss of what the attention layer made where there is a target, its gradient in the layers above, and that in h."""
+        p, size = self.p, len(h)
+        order = np.flatnonzero(target >= 0)
+        order = order[np.argsort((target[order] // PER).astype(np.uint8), kind="stable")]
+        h, before, target = np.take(h, order, axis=0), before[order], target[order]
+        n = max(len(h), 1)
+        group, hit = target // PER, target % PER
+        at, ones = np.arange(len(h)), np.ones(len(h), h.dtype)
         f = h @ p["w1"]
         f += p["b1"]
         np.maximum(f, 0, out=f)
@@ -177,15 +191,18 @@ class Model:
         zg += np.take(self.by_group, before, axis=0)
         zg = _softmax(zg)
         # classes within their groups: each group's rows meet its own columns alone
-        cut = np.searchsorted(group, np.arange(GROUPS + 1))
-        spans = [(slice(int(lo), int(hi)), slice(c * PER, (c + 1) * PER)) for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
+        cut = np.searchsorted(group, np.arange(GROUPS + 1)).tolist()
+        spans = [(slice(lo, hi), slice(c * PER, (c + 1) * PER)) for c, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if hi > lo]
         zc = np.take(self.by_class.reshape(-1, PER), before * GROUPS + group, axis=0).astype(h2.dtype, copy=False)
         for span, columns in spans:
             zc[span] += h2[span] @ p["uc"][:, columns]
         zc = _softmax(zc)
-        loss = -float(np.log(np.maximum(zg[at, group], 1e-30)).sum() + np.log(np.maximum(zc[at, hit], 1e-30)).sum()) / n if back else 0.0
+        loss = 0.0
         for z, k in ((zg, group), (zc, hit)):
-            z[at, k] -= 1
+            k = at * z.shape[1] + k
+            one = np.take(z, k)
+            loss -= float(np.log(np.maximum(one, 1e-30)).sum()) / n
+            z.reshape(-1)[k] = one - 1
             z *= np.float32(1 / n)
         dh2 = zg @ p["ug"].T
         g = {"ug": h2.T @ zg, "uc": np.zeros_like(p["uc"])}
@@ -194,47 +211,61 @@ class Model:
             dh2[span] += zc[span] @ p["uc"][:, columns].T
         df = dh2 @ p["w2"].T
         df *= f > 0
-        g |= {"w2": f.T @ dh2, "w1": h.T @ df, "b1": df.sum(axis=0)}
-        if not back:
-            return loss, g, None
-        dh = np.empty_like(h)
-        dh[order] = dh2 + df @ p["w1"].T
-        return loss, g, dh
+        g |= {"w2": f.T @ dh2, "w1": h.T @ df, "b1": ones @ df}
+        dh2 += df @ p["w1"].T
+        back = np.full(size, len(order))
+        back[order] = at
+        return loss, g, np.take(np.concatenate([dh2, np.zeros((1, DIM), dh2.dtype)]), back, axis=0)
 
     def gradient(self, w: np.ndarray, t: np.ndarray, see: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss of a batch of windows, and its gradient."""
+        """Mean loss of a batch of strips, and its gradient.
+
+        A strip is any number of consecutive blocks after the one that is only context, so a window is the
+        shortest; `see` has a row for each block that is a target.
+        """
         p, s = self.p, np.float32(1 / np.sqrt(DIM))
-        b = len(w)
-        x = p["e"][w] + p["pos"]
-        xq = x[:, STRIDE:]
-        q, k, v = xq @ p["q"] * s, x @ p["k"], x @ p["v"]
-        a = np.matmul(q, k.transpose(0, 2, 1))
-        np.minimum(a, 60, out=a)
-        np.exp(a, out=a)
-        a *= see
-        a /= (a @ np.ones((2 * STRIDE, 1), np.float32))
-        h = (np.matmul(a, v) + xq).reshape(-1, DIM)
-        before, t = w[:, STRIDE:].reshape(-1), t.reshape(-1)
-        row = np.flatnonzero(t >= 0)
-        loss, g, dh = self.upper(h[row], before[row], t[row])
-        do = np.zeros_like(h)
-        do[row] = dh
-        do = do.reshape(b, STRIDE, DIM)
-        da = np.matmul(do, v.transpose(0, 2, 1))
-        dv = np.matmul(a.transpose(0, 2, 1), do)
-        da -= np.einsum("bij,bij->bi", da, a)[:, :, None]
-        ds = np.multiply(da, a, out=da)
-        dq, dk = np.matmul(ds, k) * s, np.matmul(ds.transpose(0, 2, 1), q)
-        flat = lambda m: m.reshape(-1, DIM)
-        g |= {"q": flat(xq).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv)}
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, STRIDE:] += do + dq @ p["q"].T
-        g["pos"] = dx.sum(axis=0)
-        flat_w = w.reshape(-1)
-        order = np.argsort(flat_w.astype(np.uint16), kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], flat_w[order[1:]] != flat_w[order[:-1]])))
-        g["e"] = np.zeros_like(p["e"])
-        g["e"][flat_w[order[cut]]] = np.add.reduceat(flat(dx)[order], cut)
+        tables = self.tables()
+        e, c = tables[0], w.reshape(len(w), -1, STRIDE)
+
+        def strips(made, out):
+            """Windows back to blocks: each is the second half of its own and the first of the next."""
+            made = made.reshape(len(c), -1, 2, STRIDE, DIM)
+            out[:, 0], out[:, -1] = made[:, 0, 0], made[:, -1, 1]
+            np.add(made[:, :-1, 1], made[:, 1:, 0], out=out[:, 1:-1])
+
+        h, before, q, k, v, a, o, whole = self.attended(c, see.transpose(0, 2, 1), tables)
+        n = len(a)
+        loss, g, do = self.upper(h, before, t.reshape(-1))
+        do = do.reshape(n, STRIDE, DIM)
+        per = do / whole
+        back = np.empty((n, DIM + 1, STRIDE), h.dtype)
+        back[:, :DIM] = per.transpose(0, 2, 1)
+        # against the values' last column, of ones, stands what the softmax takes from every key
+        back[:, DIM] = -np.einsum("ijk,ijk->ij", per, o)
+        ds = np.matmul(v, back)
+        ds *= a
+        dq, dk, dv = np.matmul(ds.transpose(0, 2, 1), k), np.matmul(ds, q), np.matmul(a, per)
+        both = np.empty((*c.shape, 2 * DIM), h.dtype)
+        strips(dk, both[..., :DIM])
+        strips(dv, both[..., DIM:])
+        both, dq = both.reshape(-1, 2 * DIM), dq.reshape(-1, DIM)
+        dkv = np.take(e, c.reshape(-1), axis=0).T @ both
+        g |= {"q": np.take(e, before, axis=0).T @ dq * s, "k": dkv[:, :DIM], "v": dkv[:, DIM:]}
+        de = (both @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(*c.shape, DIM)
+        de[:, 1:] += (dq @ (p["q"].T * s) + do.reshape(-1, DIM)).reshape(len(c), -1, STRIDE, DIM)
+        flat = c.reshape(-1)
+        order = np.argsort(flat.astype(np.uint16), kind="stable")
+        flat = flat[order]
+        cut = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+        g["e"] = np.zeros_like(e)
+        g["e"][flat[cut]] = np.add.reduceat(np.take(de.reshape(-1, DIM), order, axis=0), cut, axis=0)
+        pos, late = p["pos"], p["pos"][STRIDE:]
+        dpk, dpv, dpq, dpe = ((np.ones(n, h.dtype) @ m.reshape(n, -1)).reshape(-1, DIM) for m in (dk, dv, dq, do))
+        g["q"] += late.T @ dpq * s
+        g["k"] += pos.T @ dpk
+        g["v"] += pos.T @ dpv
+        g["pos"] = dpk @ p["k"].T + dpv @ p["v"].T
+        g["pos"][STRIDE:] += dpq @ p["q"].T * s + dpe
         return loss, g
 
 
@@ -252,54 +283,48 @@ def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
     return hit - np.log(z @ np.ones(z.shape[1], np.float32))
 
 
-def train(x: np.ndarray, y: np.ndarray, scored: np.ndarray, lead: np.ndarray, by_group: np.ndarray, by_class: np.ndarray, steps: int = 800, batch: int = 128, rate: float = 0.01, seed: int = 6) -> Model:
-    """Adam over random windows of the sample."""
+def train(x: np.ndarray, y: np.ndarray, scored: np.ndarray, lead: np.ndarray, by_group: np.ndarray, by_class: np.ndarray, steps: int = 800, batch: int = 256, rate: float = RATE, seed: int = 6) -> Model:
+    """A model from all blocks, in whole passes of at least so many steps in all."""
     model = Model.start(by_group, by_class, seed)
-    rows = np.flatnonzero(scored)
-    if not len(rows):
+    n = int(scored.sum())
+    if not n:
         return model
-    r = np.random.Generator(np.random.PCG64(seed))
-    _adam(model, x, y, lead, (rows[r.integers(0, len(rows), batch)] for _ in range(steps)), steps, rate)
+    passes = -(-steps // max(1, -(-n // batch)))
+    adam = Adam(model.p)
+    for k in range(passes):
+        go_over(model, adam, x, y, scored, lead, (k / passes, (k + 1) / passes), batch, rate, seed + k)
     return model
 
 
-def go_over(model: Model, x: np.ndarray, y: np.ndarray, scored: np.ndarray, lead: np.ndarray, batch: int = 128, rate: float = 0.002, seed: int = 6) -> int:
-    """Adam over every window once, in random order, for the layers above attention, from the model's weights on; the number of windows."""
-    rows = np.random.Generator(np.random.PCG64(seed)).permutation(np.flatnonzero(scored))
-    tables, steps = model.tables(), -(-len(rows) // batch)
-    adam = Adam({k: model.p[k] for k in UPPER})
-    for step in range(1, steps + 1):
-        r = rows[(step - 1) * batch : step * batch]
-        h, before = model.attended(x, r, lead, tables)
-        t = y[r]
-        if (t >= 0).all():
-            h, before, t = h.reshape(-1, DIM), before.reshape(-1), t.reshape(-1)
-        else:
-            h, before, t = (z[t >= 0] for z in (h, before, t))
-        _, g, _ = model.upper(h, before.astype(np.int64), t.astype(np.int64), back=False)
-        adam.step(g, rate * min(1.0, step / 50) * (1 - 0.95 * step / steps))
-    return len(rows)
+def go_over(model: Model, adam: Adam, x: np.ndarray, y: np.ndarray, scored: np.ndarray, lead: np.ndarray, span: tuple[float, float], batch: int = 256, rate: float = RATE, seed: int = 6) -> int:
+    """Adam over every block once, strips of them in random order; `span` says which part of all learning this is.  The number of blocks."""
+    many = max(1, batch // STRIP)
+    first = np.random.Generator(np.random.PCG64(seed)).permutation(np.arange(1, len(x), STRIP))
+    for i in range(0, len(first), many):
+        r = first[i : i + many, None] + np.arange(-1, STRIP)
+        over = r >= len(x)
+        r[over] = 0  # the padding before the first text
+        own = r[:, 1:].reshape(-1)
+        see = np.take(_SEES, lead[own].astype(np.int64), axis=0).transpose(0, 2, 1)
+        part = span[0] + (span[1] - span[0]) * i / len(first)
+        adam.step(model.gradient(x[r].reshape(len(r), -1).astype(np.int64), y[own].astype(np.int64), see)[1], rate * (1 - 0.95 * part))
+    return int(scored.sum())
 
 
 class Adam:
-    """Steps of these weights, in place."""
+    """Steps of these weights, as views of one vector that `weights` holds from here on; the first steps are short."""
 
     def __init__(self, weights: dict[str, np.ndarray]):
-        self.p, self.n = weights, 0
-        self.m, self.v = ({k: np.zeros_like(a) for k, a in weights.items()} for _ in range(2))
+        self.flat, self.n = np.concatenate([w.reshape(-1) for w in weights.values()]), 0
+        at = np.cumsum([0, *(w.size for w in weights.values())])
+        weights |= {k: self.flat[a:b].reshape(w.shape) for (k, w), a, b in zip(weights.items(), at[:-1], at[1:], strict=True)}
+        self.names = list(weights)
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
 
     def step(self, gradient: dict[str, np.ndarray], rate: float) -> None:
         self.n += 1
-        for name, p in self.p.items():
-            d, m, v = gradient[name].astype(np.float32, copy=False), self.m[name], self.v[name]
-            m += 0.1 * (d - m)
-            v += 0.01 * (d * d - v)
-            p -= (rate / (1 - 0.9**self.n)) * m / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-8)
-
-
-def _adam(model: Model, x: np.ndarray, y: np.ndarray, lead: np.ndarray, picks, steps: int, rate: float) -> None:
-    adam = Adam(model.p)
-    for step, pick in enumerate(picks, 1):
-        w = np.concatenate([x[pick - 1], x[pick]], axis=1).astype(np.int64)
-        see = np.where(lead[pick][:, None, None], SEES_FIRST, SEES)
-        adam.step(model.gradient(w, y[pick].astype(np.int64), see)[1], rate * min(1.0, step / 50) * (1 - 0.95 * step / steps))
+        rate *= min(1.0, self.n / WARM)
+        d = np.concatenate([gradient[k].reshape(-1) for k in self.names]).astype(np.float32, copy=False)
+        self.m += 0.1 * (d - self.m)
+        self.v += 0.01 * (d * d - self.v)
+        self.flat -= (rate / (1 - 0.9**self.n)) * self.m / (np.sqrt(self.v / (1 - 0.99**self.n)) + 1e-8)

@@ -4,11 +4,10 @@ Learning covers the documents whose crc32(id as text) mod 7 is not 2.  Word coun
 and counts of neighbouring subwords (the model's classes, prior and token probabilities) are taken
 over all of them: groups count their distinct words and pairs, these meet by hash in buckets, and
 each group is told the totals of its own words alone.  Texts are shuffled and cut into words and
-subwords once; the groups' numbers for them are written to the shared folder.  The weights are fitted to about
-``SAMPLE_BYTES`` bytes of whole texts of at most ``SAMPLE_TEXT`` bytes, chosen by hash of the id.
-From there every group takes the layers above attention once over its learning documents, long ones
-included: every second block of a text is a target, with the block before it as its context, so each
-token is learned from as one or the other, and the weights are the groups' mean by windows.
+subwords once; the groups' numbers for them are written to the shared folder.  All weights,
+embeddings and attention included, are learned from every token of every learning document, long
+ones included, in a few rounds: each group goes over the documents whose turn it is, and the
+groups' mean by blocks is where the next round begins.  Nothing is drawn as a sample.
 
 Scoring is one pass over groups: every text whole, in overlapping windows, each token once.  What
 goes to the executors is the model (classes, weights, one number per vocabulary entry).
@@ -32,8 +31,11 @@ from . import attention, corpus, packing, state
 from . import textcore as tc
 
 FOLDS, HELD_OUT = 7, 2
-SAMPLE_BYTES, SAMPLE_TEXT = 4_000_000, 1_000_000
+#: Nothing reads it: no text is too long to be learned from.  A test sets a bound here and sees that it has no effect.
+SAMPLE_TEXT = None
 GROUP_BYTES = 8 << 20
+#: Of sixteen learning documents, the first is learned from in the first round, the second in the second, two in the third, and so on.
+TURNS = (0, 1, 2, 4, 8, 16)
 #: Weights of groups are added up in so many places before they reach the driver.
 PLACES = 32
 #: Chunks whose tokens a worker remembers: every text is tokenised twice here.
@@ -200,57 +202,89 @@ def class_counts(answers: DataFrame, size: int, cls: np.ndarray) -> tuple[np.nda
     return flat[:cells].reshape(-1, attention.CLASSES), flat[cells:].reshape(-1, size)
 
 
+def turns(parts: list[bytes], turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subwords and offsets of the learning documents of these groups whose turn it is: of sixteen, as many as TURNS says."""
+    found, lengths, passed = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)], 0
+    for data in parts:
+        ids, at, now = corpus.unsqueeze(data, 3)
+        place = np.arange(passed, passed := passed + int(now.sum())) % TURNS[-1]
+        now[now] = (place >= TURNS[turn]) & (place < TURNS[turn + 1])
+        found.append(ids[np.repeat(now, np.diff(at))])
+        lengths.append(np.diff(at)[now])
+    return np.concatenate(found), np.cumsum(np.concatenate(lengths))
+
+
 def fit(docs: DataFrame, tokens: DataFrame, answers: DataFrame, plan: corpus.Plan, key: str, text: str, vocabulary: str, seen: np.ndarray) -> tuple[attention.Model, np.ndarray, np.ndarray]:
-    """The model, each token's class and log P(token | class, group before).  One task trains on the sample, then each group on what it holds; sums of their weights come back."""
+    """The model, each token's class and log P(token | class, group before), all from the groups' numbers for all learning documents.
+
+    Learners hold about GROUP_BYTES of texts.  A round takes every learner over the documents whose turn it is,
+    from the weights that the round before left, and leaves the learners' mean by blocks; after the last, every
+    block of every learning document has been a target once.  A corpus of one learner is gone over in one task.
+    """
     ends_word = np.append(packing.chunks(vocabulary, CACHE).ends_word, True)
     cls = attention.classes(seen, ends_word)
     pairs, after = class_counts(answers, len(seen), cls)
     within = attention.within(seen, cls, after)
     by = attention.prior(pairs)
-    told = docs.sparkSession.sparkContext.broadcast((cls, by))
-
-    def train(table: pa.Table) -> pa.Table:
-        cls, by = told.value
-        table = table.sort_by([("h", "ascending"), ("t", "ascending")])
-        buf, off = tc.flat(table["t"])
-        n = int(np.searchsorted(off, SAMPLE_BYTES, "right"))
-        made = packing.chunks(vocabulary, CACHE)
-        ids, at = made.encode(buf[: off[min(n, len(off) - 1)]], off[: n + 1], len(cls) - 1)
-        model = attention.train(*attention.blocks(cls[ids], at), *by)
-        return pa.table({"name": list(model.p), "weights": pa.array([corpus.squeeze(w) for w in model.p.values()], pa.binary())})
-
-    every = max(1, plan.total_bytes // SAMPLE_BYTES)
-    learn = F.crc32(F.col(key).cast("string").cast("binary")) % FOLDS != HELD_OUT
-    sample = docs.where(learn & F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_TEXT) & (F.pmod(F.xxhash64(key), F.lit(every)) == 0))
-    got = sample.select(F.lit(0).alias("one"), F.xxhash64(key, text).alias("h"), F.col(text).alias("t")).groupBy("one").applyInArrow(train, "name string, weights binary").collect()
+    sc = docs.sparkSession.sparkContext
+    told = sc.broadcast((cls, by))
+    learners = plan.total_bytes // GROUP_BYTES + 1
     model = attention.Model.start(*by)
-    model.p |= {r["name"]: corpus.unsqueeze(bytes(r["weights"]), 1)[0] for r in got}
-    begun = docs.sparkSession.sparkContext.broadcast(model.p)
+    names = list(model.p)
+    shape = "place int, learner int, n long, weights binary"
 
-    def go_over(batches):
-        cls, by = told.value
-        for batch in tc.each(batches):
-            for g, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                model, n = attention.Model({k: w.copy() for k, w in begun.value.items()}, *by), 0
-                for ids, at, learn in subwords(data.as_py()):
-                    x, y, scored, lead = attention.blocks(cls[ids], at)
-                    rows = -(-np.diff(at) // attention.STRIDE) + 1
-                    place = np.arange(len(x)) - np.repeat(np.cumsum(rows) - rows, rows)
-                    n += attention.go_over(model, x, y, scored & np.repeat(learn, rows) & (place % 2 == 1), lead)
-                rows = [(name, g % PLACES, g, n, corpus.squeeze(model.p[name].astype(np.float64) * n)) for name in attention.UPPER] if n else []
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["name", "place", "g", "n", "weights"])
+    def table(rows: list) -> pa.Table:
+        return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["place", "learner", "n", "weights"])
 
-    def add(table: pa.Table) -> pa.Table:
-        table = table.sort_by("g")
-        total = sum(corpus.unsqueeze(w, 1)[0] for w in table["weights"].to_pylist())
-        return pa.table({"name": table["name"][:1], "place": table["place"][:1], "n": [sum(table["n"].to_pylist())], "weights": pa.array([corpus.squeeze(total)], pa.binary())})
-
-    parts = tokens.mapInArrow(go_over, "name string, place int, g int, n long, weights binary")
-    got = sorted(parts.groupBy("name", "place").applyInArrow(add, "name string, place int, n long, weights binary").collect(), key=lambda r: r["place"])
-    for name in attention.UPPER:
-        mine = [r for r in got if r["name"] == name]
-        if windows := sum(r["n"] for r in mine):
-            model.p[name] = (sum(corpus.unsqueeze(bytes(r["weights"]), 1)[0] for r in mine) / windows).astype(np.float32)
+    def over_all(found: pa.Table) -> pa.Table:
+        cls, by = told.value
+        parts = [turns(found.sort_by("g")["data"].to_pylist(), k) for k in range(len(TURNS) - 1)]
+        at = np.cumsum(np.concatenate([[0], *(np.diff(at) for _, at in parts)]))
+        if not at[-1]:
+            return table([])
+        model = attention.train(*attention.blocks(cls[np.concatenate([ids for ids, _ in parts])], at), *by)
+        return table([(0, 0, 1, corpus.squeeze(*(model.p[k].astype(np.float64) for k in names)))])
+
+    def a_round(turn: int, begun):
+        def learn(learner: int, parts: list[bytes]) -> pa.Table:
+            cls, by = told.value
+            ids, at = turns(parts, turn)
+            model, n = attention.Model({k: w.copy() for k, w in begun.value.items()}, *by), 0
+            adam = attention.Adam(model.p)
+            for k, (a, b) in enumerate(tc.slabs(at, RUN)):
+                span = (TURNS[turn] + (TURNS[turn + 1] - TURNS[turn]) * at[[a, b]] / max(at[-1], 1)) / TURNS[-1]
+                n += attention.go_over(model, adam, *attention.blocks(cls[ids[at[a] : at[b]]], at[a : b + 1] - at[a]), span, seed=k)
+            return table([(learner % PLACES, learner, n, corpus.squeeze(*(model.p[k].astype(np.float64) * n for k in names)))] if n else [])
+
+        def by_group(batches):
+            for batch in tc.each(batches):
+                for g, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    yield from learn(g, [data.as_py()]).to_batches()
+
+        def by_learner(found: pa.Table) -> pa.Table:
+            tc.give_back()
+            return learn(found["g"][0].as_py() % learners, found.sort_by("g")["data"].to_pylist())
+
+        return by_group, by_learner
+
+    def add(found: pa.Table) -> pa.Table:
+        found = found.sort_by("learner")
+        total = [sum(w) for w in zip(*(corpus.unsqueeze(w, len(names)) for w in found["weights"].to_pylist()), strict=True)]
+        return table([(found["place"][0].as_py(), 0, sum(found["n"].to_pylist()), corpus.squeeze(*total))])
+
+    def take(rows: DataFrame) -> None:
+        got = sorted(rows.collect(), key=lambda r: r["place"])
+        if n := sum(r["n"] for r in got):
+            for name, *w in zip(names, *(corpus.unsqueeze(bytes(r["weights"]), len(names)) for r in got), strict=True):
+                model.p[name] = (sum(w) / n).astype(np.float32)
+
+    if learners == 1:
+        take(tokens.groupBy(F.col("g") % learners).applyInArrow(over_all, shape))
+        return model, cls, within
+    for turn in range(len(TURNS) - 1):
+        by_group, by_learner = a_round(turn, sc.broadcast(dict(model.p)))
+        parts = tokens.mapInArrow(by_group, shape) if learners == plan.groups else tokens.groupBy(F.col("g") % learners).applyInArrow(by_learner, shape)
+        take(parts.groupBy("place").applyInArrow(add, shape))
     return model, cls, within
 
 

@@ -333,3 +333,72 @@ def test_leftovers_meet_where_that_saves_bins(spark, monkeypatch):
     for x in rows:
         fill[x["sequence_id"]] += x["length"]
     assert max(fill.values()) <= 4096 and len(fill) <= -(-sum(sizes) // 4096) + 2
+
+
+def test_every_learning_document_has_one_turn():
+    r = np.random.default_rng(4)
+    parts, want = [], Counter()
+    for g in range(5):
+        n = r.integers(0, 9, 40 * g)
+        learn = r.random(len(n)) < 0.8
+        ids = r.integers(0, 60_000, n.sum()).astype(np.uint16)
+        at = np.concatenate(([0], np.cumsum(n)))
+        parts.append(lm.corpus.squeeze(ids, at, learn))
+        want += Counter(ids[a:b].tobytes() for a, b, now in zip(at[:-1], at[1:], learn, strict=True) if now)
+    got = Counter()
+    for k in range(len(lm.TURNS) - 1):
+        ids, at = lm.turns(parts, k)
+        assert len(at) > 1 and at[-1] == len(ids)
+        got += Counter(ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True))
+    assert got == want
+
+
+def test_a_pass_takes_every_block_once(toy, monkeypatch):
+    """Also the blocks of the last strip, which is shorter than others, and with batches that do not come out even."""
+    flat, off = np.concatenate(toy), np.concatenate(([0], np.cumsum([len(s) for s in toy])))
+    parts = attention.blocks(flat, off)
+    model = attention.Model.start(*attention.prior(_pairs(toy)))
+    seen, inner = [], model.gradient
+    monkeypatch.setattr(attention.Model, "gradient", lambda _, w, t, see: seen.append(t[t >= 0]) or inner(w, t, see))
+    assert attention.go_over(attention.Model(model.p, model.by_group, model.by_class), attention.Adam(model.p), *parts, (0, 1), batch=48) == parts[2].sum()
+    assert Counter(np.concatenate(seen).tolist()) == Counter(flat.tolist())
+
+
+def test_strips_have_the_gradient_of_their_windows(toy):
+    flat, off = np.concatenate(toy), np.concatenate(([0], np.cumsum([len(s) for s in toy])))
+    x, y, _, lead = attention.blocks(flat, off)
+    model = attention.Model.start(*attention.prior(_pairs(toy)))
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    r = np.array([[3, 4, 5, 6, 7], [20, 21, 22, 23, 24]])
+    own = r[:, 1:].reshape(-1)
+    see = np.where(lead[own][:, None, None], attention.SEES_FIRST, attention.SEES)
+    t = y[own].astype(np.int64)
+    strips = model.gradient(x[r].reshape(2, -1).astype(np.int64), t, see)
+    windows = model.gradient(np.concatenate([x[own - 1], x[own]], axis=1).astype(np.int64), t, see)
+    assert strips[0] == pytest.approx(windows[0])
+    assert all(np.allclose(strips[1][k], windows[1][k], atol=1e-6) for k in model.p)
+
+
+@pytest.mark.parametrize("group_bytes", [8 << 20, 700_000, 300_000])
+def test_all_weights_come_from_all_learning_documents(spark, monkeypatch, group_bytes):
+    """In one task, by learners of several groups and by groups: a text of over 1 MB and a short one both move every weight, a held-out one none."""
+    monkeypatch.setattr(lm, "GROUP_BYTES", group_bytes)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(60)]
+    learn = [i for i in range(60) if not held[i]]
+    out = held.index(True)
+    texts = {i: f"some words of text {i} and {i * i} more" for i in learn} | {learn[0]: "one two three four five " * 46_000, out: "held out words"}
+    x = lm.corpus.usable(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id").repartition(3)
+    plan = lm.corpus.measure(x, "text", lm.GROUP_BYTES)
+    path = lm.packing.default_vocabulary()
+    answers, tokens, _ = lm.counts(lm.corpus.pack(x, "doc_id", "text", plan.groups), plan, "doc_id", path)
+    answers = lm.state.cut(answers)
+    seen = lm.subword_counts(answers, len(lm.packing.chunks(path, lm.CACHE).ends_word) + 1)
+
+    def fitted(rows):
+        groups = lm.counts(lm.corpus.pack(rows, "doc_id", "text", plan.groups), plan, "doc_id", path)[1]
+        return lm.fit(rows, groups, answers, plan, "doc_id", "text", path, seen)[0].p
+
+    whole = fitted(x)
+    for i in (learn[0], learn[7]):
+        assert all((whole[k] != w).any() for k, w in fitted(x.where(F.col("doc_id") != i)).items())
+    assert all((whole[k] == w).all() for k, w in fitted(x.where(F.col("doc_id") != out)).items())
