@@ -27,6 +27,8 @@ SMOOTH = 5.0
 STRIP, RATE, WARM = 16, 0.03, 25
 #: Blocks scored at once: their scores fit a processor's cache.
 BATCH = 128
+#: Rows in one product with weights.
+ROWS = 1024
 _Q = np.arange(STRIDE)[:, None]
 _K = np.arange(2 * STRIDE)[None, :]
 #: Which keys a query sees: itself and what is before it; in a text's first block nothing of the padding.
@@ -145,10 +147,10 @@ class Model:
             t = y[i : i + BATCH].reshape(-1)
             live = np.flatnonzero(t >= 0)
             h = np.take(h, live, axis=0)
-            f = h @ p["w1"]
+            f = _rows(h, p["w1"])
             f += p["b1"]
-            np.maximum(f, 0, out=f)
-            h += f @ p["w2"]
+            np.maximum(f, np.zeros_like(f), out=f)  # numpy is slow with a single zero
+            h += _rows(f, p["w2"])
             hidden.append(h)
             before.append(b[live])
             target.append(t[live])
@@ -161,8 +163,8 @@ class Model:
         """log P of the target classes given what the layers made of their contexts."""
         group = target // PER
         order = np.argsort(group.astype(np.uint8), kind="stable")
-        h, before, target, group = h[order], before[order], target[order], group[order]
-        z = h @ self.p["ug"]
+        h, before, target, group = np.take(h, order, axis=0), before[order], target[order], group[order]
+        z = _rows(h, self.p["ug"])
         z += np.take(self.by_group, before, axis=0)
         out = np.empty(len(h), np.float32)
         out[order] = _log_softmax_at(z, group)
@@ -182,12 +184,12 @@ class Model:
         n = max(len(h), 1)
         group, hit = target // PER, target % PER
         at, ones = np.arange(len(h)), np.ones(len(h), h.dtype)
-        f = h @ p["w1"]
+        f = _rows(h, p["w1"])
         f += p["b1"]
-        np.maximum(f, 0, out=f)
-        h2 = f @ p["w2"]
+        np.maximum(f, np.zeros_like(f), out=f)  # numpy is slow with a single zero
+        h2 = _rows(f, p["w2"])
         h2 += h
-        zg = h2 @ p["ug"]
+        zg = _rows(h2, p["ug"])
         zg += np.take(self.by_group, before, axis=0)
         zg = _softmax(zg)
         # classes within their groups: each group's rows meet its own columns alone
@@ -204,15 +206,15 @@ class Model:
             loss -= float(np.log(np.maximum(one, 1e-30)).sum()) / n
             z.reshape(-1)[k] = one - 1
             z *= np.float32(1 / n)
-        dh2 = zg @ p["ug"].T
-        g = {"ug": h2.T @ zg, "uc": np.zeros_like(p["uc"])}
+        dh2 = _rows(zg, p["ug"].T.copy())
+        g = {"ug": _sums(h2, zg), "uc": np.zeros_like(p["uc"])}
         for span, columns in spans:
             g["uc"][:, columns] = h2[span].T @ zc[span]
             dh2[span] += zc[span] @ p["uc"][:, columns].T
-        df = dh2 @ p["w2"].T
+        df = _rows(dh2, p["w2"].T.copy())
         df *= f > 0
-        g |= {"w2": f.T @ dh2, "w1": h.T @ df, "b1": ones @ df}
-        dh2 += df @ p["w1"].T
+        g |= {"w2": _sums(f, dh2), "w1": _sums(h, df), "b1": ones @ df}
+        dh2 += _rows(df, p["w1"].T.copy())
         back = np.full(size, len(order))
         back[order] = at
         return loss, g, np.take(np.concatenate([dh2, np.zeros((1, DIM), dh2.dtype)]), back, axis=0)
@@ -227,12 +229,6 @@ class Model:
         tables = self.tables()
         e, c = tables[0], w.reshape(len(w), -1, STRIDE)
 
-        def strips(made, out):
-            """Windows back to blocks: each is the second half of its own and the first of the next."""
-            made = made.reshape(len(c), -1, 2, STRIDE, DIM)
-            out[:, 0], out[:, -1] = made[:, 0, 0], made[:, -1, 1]
-            np.add(made[:, :-1, 1], made[:, 1:, 0], out=out[:, 1:-1])
-
         h, before, q, k, v, a, o, whole = self.attended(c, see.transpose(0, 2, 1), tables)
         n = len(a)
         loss, g, do = self.upper(h, before, t.reshape(-1))
@@ -244,15 +240,22 @@ class Model:
         back[:, DIM] = -np.einsum("ijk,ijk->ij", per, o)
         ds = np.matmul(v, back)
         ds *= a
-        dq, dk, dv = np.matmul(ds.transpose(0, 2, 1), k), np.matmul(ds, q), np.matmul(a, per)
-        both = np.empty((*c.shape, 2 * DIM), h.dtype)
-        strips(dk, both[..., :DIM])
-        strips(dv, both[..., DIM:])
+        dq, made = np.matmul(ds.transpose(0, 2, 1), k), np.empty((n, 2 * STRIDE, 2 * DIM), h.dtype)
+        np.matmul(ds, q, out=made[:, :, :DIM])
+        np.matmul(a, per, out=made[:, :, DIM:])
+        places = np.ones(n, h.dtype) @ made.reshape(n, -1)
+        # windows back to blocks: each is the second half of its own and the first of the next
+        made = made.reshape(len(c), -1, 2, 2 * STRIDE * DIM)
+        both = np.empty((*c.shape[:2], 2 * STRIDE * DIM), h.dtype)
+        both[:, 0], both[:, -1] = made[:, 0, 0], made[:, -1, 1]
+        np.add(made[:, :-1, 1], made[:, 1:, 0], out=both[:, 1:-1])
         both, dq = both.reshape(-1, 2 * DIM), dq.reshape(-1, DIM)
-        dkv = np.take(e, c.reshape(-1), axis=0).T @ both
-        g |= {"q": np.take(e, before, axis=0).T @ dq * s, "k": dkv[:, :DIM], "v": dkv[:, DIM:]}
-        de = (both @ np.concatenate([p["k"], p["v"]], axis=1).T).reshape(*c.shape, DIM)
-        de[:, 1:] += (dq @ (p["q"].T * s) + do.reshape(-1, DIM)).reshape(len(c), -1, STRIDE, DIM)
+        dkv = _sums(np.take(e, c.reshape(-1), axis=0), both)
+        g |= {"q": _sums(np.take(e, before, axis=0), dq) * s, "k": dkv[:, :DIM], "v": dkv[:, DIM:]}
+        de = _rows(both, np.concatenate([p["k"].T, p["v"].T])).reshape(*c.shape, DIM)
+        own = _rows(dq, p["q"].T * s)
+        own += do.reshape(-1, DIM)
+        de[:, 1:] += own.reshape(len(c), -1, STRIDE, DIM)
         flat = c.reshape(-1)
         order = np.argsort(flat.astype(np.uint16), kind="stable")
         flat = flat[order]
@@ -260,7 +263,8 @@ class Model:
         g["e"] = np.zeros_like(e)
         g["e"][flat[cut]] = np.add.reduceat(np.take(de.reshape(-1, DIM), order, axis=0), cut, axis=0)
         pos, late = p["pos"], p["pos"][STRIDE:]
-        dpk, dpv, dpq, dpe = ((np.ones(n, h.dtype) @ m.reshape(n, -1)).reshape(-1, DIM) for m in (dk, dv, dq, do))
+        dpk, dpv = np.split(places.reshape(-1, 2 * DIM), 2, axis=1)
+        dpq, dpe = ((np.ones(n, h.dtype) @ m.reshape(n, -1)).reshape(-1, DIM) for m in (dq, do))
         g["q"] += late.T @ dpq * s
         g["k"] += pos.T @ dpk
         g["v"] += pos.T @ dpv
@@ -269,6 +273,22 @@ class Model:
         return loss, g
 
 
+def _rows(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w, so many rows at a time that BLAS takes them as they lie and needs no copies."""
+    out = np.empty((len(x), w.shape[1]), x.dtype)
+    for i in range(0, len(x), ROWS):
+        np.matmul(x[i : i + ROWS], w, out=out[i : i + ROWS])
+    return out
+
+
+def _sums(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """x.T @ y in the same manner."""
+    out = x[:ROWS].T @ y[:ROWS]
+    for i in range(ROWS, len(x), ROWS):
+        out += x[i : i + ROWS].T @ y[i : i + ROWS]
+    return out
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     np.clip(z, -80, 80, out=z)  # within what a float's exponential can hold
     np.exp(z, out=z)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import corpus, state
+from . import corpus, merges, state
 from . import textcore as tc
 
 END, LENGTH = 1, 4096
@@ -58,6 +58,7 @@ class Chunks:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merges = merges.merges(path)
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.cache = cache
@@ -70,21 +71,17 @@ class Chunks:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def fresh(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of chunks and where each ends.  Chunks of letters are encoded in one go: each has one token that ends a word."""
-        words = [w.decode() for w in new]
-        plain = np.array([w.isalpha() for w in words], bool)
-        size = np.zeros(len(new), np.int64)
-        letters = [w for w, p in zip(words, plain, strict=True) if p]
-        joined = np.array(self._each([" ".join(letters)])[0], np.uint32) if letters else np.zeros(0, np.uint32)
-        end = np.flatnonzero(self.ends_word[joined]) + 1
-        if len(end) != len(letters):
-            plain[:], letters, joined, end = False, [], joined[:0], end[:0]
-        size[plain] = np.diff(end, prepend=0)
-        rest = self._each([w for w, p in zip(words, plain, strict=True) if not p]) if not plain.all() else []
-        size[~plain] = [len(x) for x in rest]
+        """Ids of chunks and where each ends: what `merges` does not know, the tokenizer encodes."""
+        good, size = np.zeros(len(new), bool), np.zeros(len(new), np.int64)
+        joined = np.zeros(0, np.uint32)
+        if self.merges and new:
+            good, joined, many = self.merges.known(np.frombuffer(b"".join(new), np.uint8), np.cumsum([0, *map(len, new)]))
+            size[good] = many
+        rest = self._each([w.decode() for w, g in zip(new, good.tolist(), strict=True) if not g]) if not good.all() else []
+        size[~good] = [len(x) for x in rest]
         stop = np.cumsum(size)
         ids = np.empty(int(stop[-1]) if len(stop) else 0, np.uint32)
-        mine = np.repeat(plain, size)
+        mine = np.repeat(good, size)
         ids[mine] = joined
         ids[~mine] = [t for x in rest for t in x]
         return ids, stop

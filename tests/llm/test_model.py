@@ -1,16 +1,18 @@
 import gzip
 import hashlib
+import json
 import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import attention, lm, packing, warc
+from quillgraph.llm import attention, lm, merges, packing, warc
 
 from .conftest import clashing
 
@@ -41,6 +43,40 @@ def test_chunks_equal_whole_texts(tokenizer, known):
             assert all(ids[a:b].tolist() == [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t, a, b in zip(texts, at[:-1], at[1:], strict=True))
 
 
+def test_merges_equal_the_tokenizer(tokenizer, known, monkeypatch):
+    """Latin-1 letters, digits and signs are merged in numpy alone, and come out as the tokenizer's; the rest is left to it."""
+    r = np.random.default_rng(5)
+    made = packing.Chunks(packing.default_vocabulary(), 10)
+    plain = [c for t, c in zip(r.random(3000) < 0.9, r.integers(1, 14, 3000), strict=True) for c in ["".join(r.choice(list("etaoinshrdluéèüßÀÉÑÞ") if t else list("ab.,!?;:#*$%&|<>()[]{}0123456789_-Éç"), c))]]
+    plain += [w for _, t in known for w in re.findall(r"[!-&(-~]+", t) if len(w) < 30] + ["a" * 30, "." * 30, "é" * 15, "<|endoftext|>", "aaaaaaabaaaaaaab"]
+    odd = ["don't", "a" * 31, "." * 31, "é" * 16, "×", "a÷b", "œuvre", "e\u0301", "日本", "x\x85y", "a\x1cb", "µ", "ªb", "İ"]
+    raw = [w.encode() for w in plain + odd]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    good, ids, size = made.merges.known(data, off)
+    assert good.tolist() == [True] * len(plain) + [False] * len(odd) and len(ids) == size.sum()
+    ids, stop = made.fresh(raw)
+    want = [e.ids for e in tokenizer.encode_batch_fast(plain + odd, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, stop[:-1])] == want
+    monkeypatch.setattr(made, "_each", None)
+    ids, stop = made.fresh(raw[: len(plain)])
+    assert [x.tolist() for x in np.split(ids, stop[:-1])] == want[: len(plain)]
+
+
+def test_other_vocabularies_are_left_to_their_tokenizer(tmp_path, tokenizer):
+    saved = json.loads(Path(packing.default_vocabulary()).read_text(encoding="utf-8"))
+    saved["normalizer"]["normalizers"].pop()
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(saved), encoding="utf-8")
+    assert merges.merges(str(path)) is None and packing.Chunks(str(path), 10).fresh([b"some", b"words"])[0].tolist() == tokenizer.encode("some words", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [0, 1, attention.ROWS, 2 * attention.ROWS + 3])
+def test_products_by_rows(n):
+    r = np.random.default_rng(n)
+    x, y, w = r.standard_normal((n, 7)), r.standard_normal((n, 5)), r.standard_normal((7, 3))
+    assert np.allclose(attention._rows(x, w), x @ w) and np.allclose(attention._sums(x, y), x.T @ y)
+
+
 @pytest.mark.parametrize(("length", "limits"), [(64, {}), (64, {"rule": "dot"}), (64, {"most_documents": 2}), (64, {"most_cost": 64 * 64.0, "rule": "norm", "weights": (1.0, 1.0, 1.0)})])
 def test_packing(docs, known, tokenizer, length, limits, monkeypatch):
     monkeypatch.setattr(packing, "GROUP_PIECES", 100)
