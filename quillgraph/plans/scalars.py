@@ -70,8 +70,10 @@ def parse_hit(spark, d):
 
 @query("SELECT user_id, event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_ms(ts) // 1000 RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS n FROM events")
 def restart_window(spark, d):
-    """How many events each user had in the minute up to each of them."""
-    w = Window.partitionBy("user_id").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-60, 0)
+    """How many events each user had in the minute up to each of them; seconds are those of the time rounded to milliseconds, as `epoch_ms` has it."""
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    ms = F.call_function("div", us + F.when(us < 0, -500).otherwise(500), F.lit(1000))  # halves away from zero
+    w = Window.partitionBy("user_id").orderBy(F.call_function("div", ms, F.lit(1000))).rangeBetween(-60, 0)
     return views.table(spark, d, "events").select("user_id", "event_id", F.count(F.lit(1)).over(w).alias("n"))
 
 
