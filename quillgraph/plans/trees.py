@@ -45,6 +45,7 @@ def _scripts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _symbols(found: DataFrame) -> DataFrame:
+    """Numbered; to be written where they are read more than once."""
     return ranking.number_rows(scan.symbols_of(found), ["path", "byte", "name"])
 
 
@@ -59,7 +60,7 @@ UNION ALL SELECT 'interface_declaration', 'I' || b, 'lib/brand' || b || '.ts', n
 UNION ALL SELECT 'class_declaration', 'C' || b, 'lib/brand' || b || '.ts', n + 3, n + 3, 'class C' || b || ' extends C' || nb || ' implements I' || b || ' {{}}' FROM f""")
 def extract_scripts(spark, d):
     """Symbols of scripts: kind, name, place and text."""
-    return _symbols(scan.extract(_scripts(spark, d))).select("kind", "name", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "snippet")
+    return _symbols(graph.cut(scan.extract(_scripts(spark, d)))).select("kind", "name", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "snippet")
 
 
 @query(f"""WITH {PARTS}, fn AS (SELECT k, b, row_number() OVER (PARTITION BY b ORDER BY k) AS i, count(*) OVER (PARTITION BY b) AS n FROM p)
@@ -70,7 +71,7 @@ def extract_python(spark, d):
     line = F.concat(F.lit("def fn_"), F.col("k").cast("string"), F.lit("(x):\n    return fn_"), (F.col("k") + 1).cast("string"), F.lit("(x)\n"))
     body = _parts(spark, d).groupBy("b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("t")))), lambda x: x["t"]), "").alias("body"))
     files = body.select(F.concat(F.lit("lib/b"), "b", F.lit(".py")).alias("path"), F.concat("body", F.lit("class Brand:\n    async def inner(self):\n        pass\n")).alias("content"), F.lit("python").alias("lang"))
-    return _symbols(scan.extract(files)).select("kind", "name", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
+    return _symbols(graph.cut(scan.extract(files))).select("kind", "name", "path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 @query(f"""WITH {FILES} SELECT 'fn_' || a.k AS from_name, 'fn_' || c.k AS to_name, 'Calls' AS kind, CAST(CASE WHEN a.b = c.b THEN 1.0 WHEN f.nb = c.b THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence FROM fn a JOIN fn c ON c.k = a.k + 1 JOIN f ON f.b = a.b
@@ -79,7 +80,7 @@ UNION ALL SELECT 'C' || b, 'C' || nb, 'Extends', 0.9 FROM f UNION ALL SELECT 'C'
 def edge_builder(spark, d):
     """Edges of a tree: the import pass first, then calls, bases and interfaces by the resolver's three steps."""
     found = graph.cut(scan.extract(_scripts(spark, d)))
-    s = _symbols(found)
+    s = graph.cut(_symbols(found))
     edges, _, _ = resolve.build_edges(s, scan.captures_of(found))
     name = lambda side: s.select(F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name"))
     return edges.join(name("from"), "from_id").join(name("to"), "to_id").select("from_name", "to_name", "kind", "confidence")
@@ -90,7 +91,7 @@ UNION ALL SELECT unnest(['Imports', 'Extends', 'Implements']), count(*), 0 FROM
 def edge_builder_attempts(spark, d):
     """What the edge builder tried, by kind."""
     found = graph.cut(scan.extract(_scripts(spark, d)))
-    _, _, attempts = resolve.build_edges(_symbols(found), scan.captures_of(found))
+    _, _, attempts = resolve.build_edges(graph.cut(_symbols(found)), scan.captures_of(found))
     return resolve.edge_stats(attempts)
 
 
@@ -98,7 +99,7 @@ def edge_builder_attempts(spark, d):
 def alias_declarations(spark, d):
     """What each file's imports declare."""
     found = graph.cut(scan.extract(_scripts(spark, d)))
-    _, aliases, _ = resolve.build_edges(_symbols(found), scan.captures_of(found))
+    _, aliases, _ = resolve.build_edges(graph.cut(_symbols(found)), scan.captures_of(found))
     return aliases.select("file", "alias", "target_file", "target_member")
 
 
