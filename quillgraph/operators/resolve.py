@@ -7,6 +7,7 @@ a renamed import's local name).  Paths use forward slashes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from . import ranking
+from .state import cut
 
 #: Confidence of the resolver's steps.
 SAME_FILE, IMPORTED, UNIQUE = 1.0, 0.9, 0.7
@@ -26,16 +28,31 @@ TWINS = {".js": (".ts", ".tsx"), ".mjs": (".mts", ".mjs"), ".cjs": (".cts", ".cj
 ROLE_KIND = {"call": "Calls", "implements": "Implements", "extends": "Extends", "import": "Imports"}
 
 
+def _blocks(level: Column) -> tuple[Column, Column]:
+    """Of lines s to e the first whole block of 2 ** level lines, and the one behind the last."""
+    return F.negative(F.call_function("shiftright", F.negative(F.col("s")), level)), F.call_function("shiftright", F.col("e") + 1, level)
+
+
 def enclosing(captures: DataFrame, symbols: DataFrame) -> DataFrame:
     """Captures with `from_id`, the smallest symbol of their file whose lines hold them; captures outside of all fall away.
 
-    The path is the join's key and the containment its residue, so it stays a hash or merge join.
+    Lines s to e are cut into at most two blocks of 2 ** k lines for each k, and of the symbols that a block
+    belongs to only the best stays.  A line lies in one block of each size, so it meets one row of each size and
+    all joins are by equal keys, however many symbols and captures a file has.
     """
-    s = symbols.select(F.col("id").alias("from_id"), F.col("path").alias("s_path"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    c = captures.withColumn("capture", F.struct(*captures.columns))
-    pairs = c.join(s, (c["path"] == s["s_path"]) & (c["row"] >= s["s"]) & (c["row"] <= s["e"]))
-    best = pairs.groupBy("capture").agg(F.min_by("from_id", F.struct((F.col("e") - F.col("s")).alias("span"), "s", "from_id")).alias("from_id"))
-    return best.select("capture.*", "from_id")
+    lines = symbols.groupBy("path", F.col("start_line").cast("long").alias("s"), F.col("end_line").cast("long").alias("e")).agg(F.min("id").alias("id")).where("s <= e")
+    best = F.struct((F.col("e") - F.col("s")).alias("span"), F.col("s").alias("s"), F.col("id").alias("from_id"))
+    sizes = F.sequence(F.lit(0), F.floor(F.log2(F.col("e") - F.col("s") + 1)).cast("int"))
+    each = lines.select("path", "s", "e", best.alias("best"), F.explode(sizes).alias("level"))
+    first, behind = _blocks(F.col("level"))
+    ends = F.filter(F.array(F.when(first % 2 != 0, first), F.when(behind % 2 != 0, behind - 1)), lambda x: x.isNotNull())
+    cover = each.where(first < behind).select("path", "level", F.explode(ends).alias("block"), "best")
+    held = cover.groupBy("path", "level", "block").agg(F.min("best").alias("best"))
+    levels = sorted(r["level"] for r in cover.select("level").distinct().collect())  # one for each power of two up to the longest symbol
+    places = captures.select("path", "row").distinct().select("path", "row", F.explode(F.lit(levels or [0]).cast("array<int>")).alias("level"))
+    places = places.withColumn("block", F.call_function("shiftright", F.col("row").cast("long"), F.col("level")))
+    found = places.join(held, ["path", "level", "block"]).groupBy("path", "row").agg(F.min("best")["from_id"].alias("from_id"))
+    return captures.distinct().join(found, ["path", "row"]).select(*captures.columns, "from_id")
 
 
 def import_base(from_file: Column, source: Column) -> Column:
@@ -44,14 +61,27 @@ def import_base(from_file: Column, source: Column) -> Column:
     return F.when(source.startswith("."), tx.normalize_path(F.when(d == "", source).otherwise(F.concat(d, F.lit("/"), source))))
 
 
+def _once(base: Column, candidates: Callable[[Column], Column]) -> Column:
+    """Candidates of a path that is computed once and not for each of them."""
+    return F.transform(F.array(base), candidates)[0]
+
+
 def script_candidates(base: Column) -> Column:
     """Candidate paths of a TypeScript import in order: without a JavaScript extension first, then as it stands."""
+    return _once(base, _script_candidates)
+
+
+def _script_candidates(base: Column) -> Column:
     bare = F.when(base.endswith(".js"), F.regexp_replace(base, r"\.js$", "")).when(base.endswith(".jsx"), F.regexp_replace(base, r"\.jsx$", "")).otherwise(base)
     return F.array(*[F.concat(b, F.lit(s)) for b in (bare, base) for s in SUFFIXES])
 
 
 def tree_candidates(base: Column) -> Column:
     """Candidate paths in a JavaScript or TypeScript tree: the file, its source twins, with an extension, as a folder's index."""
+    return _once(base, _tree_candidates)
+
+
+def _tree_candidates(base: Column) -> Column:
     root, ext = F.regexp_extract(base, r"^(.*?)(\.[^./]*)?$", 1), F.regexp_extract(base, r"(\.[^./]*)$", 1)
     twins = reduce(lambda acc, kv: F.when(ext == kv[0], F.array(*[F.concat(root, F.lit(t)) for t in kv[1]])).otherwise(acc), TWINS.items(), F.array().cast("array<string>"))
     return F.concat(F.array(base), twins, F.array(*[F.concat(base, F.lit(x)) for x in EXTENSIONS]), F.array(*[F.concat(base, F.lit("/index" + x)) for x in EXTENSIONS]))
@@ -142,7 +172,7 @@ def build_edges(symbols: DataFrame, captures: DataFrame, use_aliases: bool = Fal
     Imports.  Of repeated (from, to, kind) the first attempt stays, a namespaced one before a plain one.
     """
     files = symbols.select("path").distinct()
-    imports = resolve_imports(captures, files)
+    imports = cut(resolve_imports(captures, files))
     aliases = alias_declarations(imports)
     named = imports.where("variant <> 2").join(first_symbols(symbols), "path")
     target = by_file_and_name(symbols).select(F.col("path").alias("target_file"), "name", F.col("id").alias("to_id"))
@@ -150,7 +180,7 @@ def build_edges(symbols: DataFrame, captures: DataFrame, use_aliases: bool = Fal
     lost_namespaces = imports.where("variant = 2 AND target_file IS NULL").select(F.lit("Imports").alias("kind"), F.lit(None).cast("long").alias("from_id"), F.lit(None).cast("long").alias("to_id"), F.lit(None).cast("double").alias("confidence"), F.lit(0).alias("pass"), "path", "byte", F.lit(0).alias("plain"))
     import_edges = import_tries.where("to_id IS NOT NULL").select("from_id", "to_id", "kind", "confidence")
     # a member call is tried twice, once with its object as a namespace and once by name alone
-    found = enclosing(captures.where("role <> 'import'"), symbols)
+    found = cut(enclosing(captures.where("role <> 'import'"), symbols))
     twice = found.where("qualifier IS NOT NULL").withColumn("qualifier", F.lit(None).cast("string"))
     refs = found.unionByName(twice)
     resolved = resolve_names(refs, symbols, import_targets(import_edges, symbols), aliases.where("target_member IS NULL"))
