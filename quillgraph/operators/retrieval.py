@@ -18,7 +18,7 @@ WEIGHTS = {"name": 10.0, "snippet": 1.0, "kind": 1.0, "search_blob": 5.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 POOL, RRF_C, ALPHA = 50, 60, 0.6
 QUERY_BLOCK = 4096
-MOST_TERMS = 1000
+MOST_TERMS, MOST_PHRASES = 1000, 64
 
 
 @dataclass(frozen=True)
@@ -42,16 +42,52 @@ def postings(symbols: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFra
     return rows.select("term", "id", "col", "pos")
 
 
-def _scanned(symbols: DataFrame, terms: list[str], weights: dict[str, float]) -> Index:
-    """An index of these terms alone, from one pass over the rows: each text is cut into tokens once."""
+def _counted(symbols: DataFrame, phrases: list[list[str]], weights: dict[str, float]) -> DataFrame:
+    """id, dl and for each phrase its weighted count in the row, from one pass over the rows that sends nothing around: each text is cut into tokens once."""
     split = symbols.select("id", *[tx.tokens(F.col(c)).alias(c) for c in weights])
+    terms = sorted({t for p in phrases for t in p})
 
-    def spots(c: str) -> Column:
-        every = F.transform(F.col(c), lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos")))
+    def spots(c: str, w: float) -> Column:
+        every = F.transform(F.col(c), lambda t, i: F.struct(t.alias("term"), F.lit(c).alias("col"), i.alias("pos"), F.lit(float(w)).alias("w")))
         return F.filter(every, lambda x: x["term"].isin(terms))
 
-    rows = cut(split.select("id", sum((F.size(c) for c in weights), F.lit(0)).cast("long").alias("dl"), F.concat(*map(spots, weights)).alias("spots")))
-    return Index(rows.select("id", F.inline("spots")).select("term", "id", "col", "pos"), rows.select("id", "dl"))
+    def count(kept: Column, phrase: list[str]) -> Column:
+        def here(x: Column, i: Column) -> Column:
+            out = x["term"] == phrase[0]
+            for k, term in enumerate(phrase[1:], 1):
+                y = F.get(kept, i + k)
+                out &= F.coalesce((y["term"] == term) & (y["col"] == x["col"]) & (y["pos"] == x["pos"] + k), F.lit(False))
+            return out
+
+        return F.aggregate(F.filter(kept, here), F.lit(0.0), lambda f, x: f + x["w"])
+
+    kept = F.array(F.concat(*[spots(c, w) for c, w in weights.items()]))  # bound once for all phrases
+    f = F.transform(kept, lambda x: F.array(*[count(x, p) for p in phrases]))[0]
+    return split.select("id", sum((F.size(c) for c in weights), F.lit(0)).cast("long").alias("dl"), f.alias("f"))
+
+
+def _part(idf: Column, f: Column, dl: Column, avgdl: Column) -> Column:
+    return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
+
+
+def _idf(n_rows: Column, n_p: Column) -> Column:
+    idf = F.log((n_rows - n_p + 0.5) / (n_p + 0.5))
+    return F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
+
+
+def _scored(symbols: DataFrame, asked: list, weights: dict[str, float], kind) -> DataFrame:
+    """BM25 of rows that are not indexed, for phrases (qid, phrase, terms) that are few: what is sent around is a count for each phrase."""
+    phrases = [list(p) for p in sorted({tuple(r["terms"]) for r in asked})]
+    rows = cut(_counted(symbols, phrases, weights))
+    f = [F.col("f")[i] for i in range(len(phrases))]
+    stats = rows.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"), F.array(*[F.count_if(x > 0) for x in f]).alias("n_p"))
+    each = [F.when(x > 0, _part(_idf(F.col("n_rows"), F.col("n_p")[i]), x, F.col("dl"), F.col("avgdl"))).otherwise(0.0) for i, x in enumerate(f)]
+    scores = rows.crossJoin(F.broadcast(stats)).select("id", F.array(*each).alias("each"))
+    queries: dict = {}
+    for r in asked:
+        queries.setdefault(r["qid"], []).append(phrases.index(list(r["terms"])))
+    hits = F.array(*[F.struct(F.lit(q).cast(kind).alias("qid"), sum((F.col("each")[i] for i in ps), F.lit(0.0)).alias("bm25_score")) for q, ps in queries.items()])
+    return scores.where("id IS NOT NULL").select("id", F.inline(F.filter(hits, lambda x: x["bm25_score"] > 0))).select("qid", "id", "bm25_score")
 
 
 def bm25(symbols: DataFrame | Index, queries: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -60,28 +96,30 @@ def bm25(symbols: DataFrame | Index, queries: DataFrame, weights: dict[str, floa
     A phrase's tokens stand next to each other in one column.  Only postings of the queries' terms are
     read, from a stored index by a filter that reaches its files, from symbols in one pass; statistics
     come from the live rows, so nothing deleted is ever counted.  The queries are a stated set: up to
-    ``MOST_TERMS`` of their terms are named in the plan, more are joined.
+    ``MOST_TERMS`` of their terms are named in the plan, and up to ``MOST_PHRASES`` of their phrases are
+    counted where the rows are; more are joined.
     """
     phrases = queries.select("qid", F.posexplode(tx.fts_phrases(F.col("query"))).alias("phrase", "terms"))
+    asked = phrases.limit(MOST_PHRASES + 1).collect()
+    if not isinstance(symbols, Index) and 0 < len(asked) <= MOST_PHRASES:
+        return _scored(symbols, asked, weights, queries.schema["qid"].dataType)
     wanted = phrases.select("qid", "phrase", F.size("terms").alias("k"), F.posexplode("terms").alias("i", "term"))
     terms = [r["term"] for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect()]
     few = len(terms) <= MOST_TERMS
-    if isinstance(symbols, Index):
-        index = symbols
-    else:
-        index = _scanned(symbols, terms, weights) if few else Index(postings(symbols, weights), lengths(symbols, weights))
+    index = symbols if isinstance(symbols, Index) else Index(postings(symbols, weights), lengths(symbols, weights))
     hits = index.postings.where(F.col("term").isin(terms)) if few else index.postings
-    spots = hits.join(wanted, "term").withColumn("base", F.col("pos") - F.col("i"))
-    found = spots.groupBy("qid", "phrase", "k", "id", "col", "base").agg(F.count(F.lit(1)).alias("n")).where("n = k")
     weight = F.create_map(*[x for c, w in weights.items() for x in (F.lit(c), F.lit(float(w)))])
-    tf = found.groupBy("qid", "phrase", "id").agg(F.sum(weight[F.col("col")]).alias("f"))
+    # a frequent term has many postings: they stay where they are and meet the few terms there, and what is counted by id is dealt by id
+    spots = hits.join(F.broadcast(wanted) if few else wanted, "term")
+    one = spots.where("k = 1").groupBy("qid", "phrase", "id").agg(F.sum(weight[F.col("col")]).alias("f"))
+    more = spots.where("k > 1").withColumn("base", F.col("pos") - F.col("i")).select("qid", "phrase", "k", "id", "col", "base").repartition("id")
+    found = more.groupBy("qid", "phrase", "k", "id", "col", "base").agg(F.count(F.lit(1)).alias("n")).where("n = k")
+    tf = cut(one.unionByName(found.groupBy("qid", "phrase", "id").agg(F.sum(weight[F.col("col")]).alias("f"))))
     df = tf.groupBy("qid", "phrase").agg(F.count(F.lit(1)).alias("n_p"))
     dl = index.lengths
     stats = dl.agg(F.count(F.lit(1)).alias("n_rows"), F.avg("dl").alias("avgdl"))
-    idf = F.log((F.col("n_rows") - F.col("n_p") + 0.5) / (F.col("n_p") + 0.5))
-    idf = F.when(idf <= 0, IDF_FLOOR).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, ["qid", "phrase"]).join(dl, "id").crossJoin(F.broadcast(stats))  # stats is one row
+    scored = tf.join(F.broadcast(df) if few else df, ["qid", "phrase"]).join(dl, "id").crossJoin(F.broadcast(stats))  # stats is one row
+    part = _part(_idf(F.col("n_rows"), F.col("n_p")), F.col("f"), F.col("dl"), F.col("avgdl"))
     return scored.groupBy("qid", "id").agg(F.sum(part).alias("bm25_score"))
 
 
