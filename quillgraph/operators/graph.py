@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ranking, smallgraph
-from .state import cut
+from .state import cut, dealt
 
 #: Up to so many edges a personalised PageRank runs as one numpy task (16 bytes an edge).
 SMALL_EDGES = 2_000_000
@@ -107,36 +107,40 @@ def _ppr_numpy(edges: DataFrame, entries: DataFrame, damping: float, rounds: int
     return e.groupBy("one").cogroup(s.groupBy("one")).applyInPandas(run, "node long, score double")
 
 
-def ppr(edges: DataFrame, entries: DataFrame, damping: float = 0.85, rounds: int = 30, mode: str = "auto", every: int = 5) -> DataFrame:
+def ppr(edges: DataFrame, entries: DataFrame, damping: float = 0.85, rounds: int = 30, mode: str = "auto", every: int = 1) -> DataFrame:
     """node, score: personalised PageRank over a fixed number of rounds.
 
     Starts at the entries (node) alike and returns there; nodes without out-edges return all they
     have.  Repeated edges count as often as they stand.  Entries without edges are nodes too, nodes
-    never reached score 0, and without entries there is no result.  `auto` counts the edges and runs
-    small graphs as one numpy task, others as joins; both give the same scores.
+    never reached score 0, and without entries there is no result.  The edges are counted: `auto` and
+    `task` run small graphs as one numpy task, others as joins, as no task holds a graph of any size;
+    both give the same scores.
     """
-    entries = entries.select("node").distinct()
-    if mode == "auto":
-        edges = _once(edges)
-        mode = "task" if edges.schema["src"].dataType.typeName() in ("long", "integer") and _is_small(edges, "auto") else "joins"
-    if mode == "task":
+    if mode not in ("auto", "task", "joins"):
+        raise ValueError(f"mode {mode!r} is none of auto, task, joins")
+    entries = cut(entries.select("node").distinct())
+    edges = _once(edges)
+    if mode != "joins" and edges.schema["src"].dataType.typeName() in ("long", "integer") and _is_small(edges, "auto"):
         return _ppr_numpy(edges, entries, damping, rounds)
-    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     if not (n_entries := entries.count()):
         return entries.withColumn("score", F.lit(1.0))
+    # nodes are joined by sorted runs: they may be few enough for a broadcast, but one in each round adds up on the driver
+    degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     home = F.when(F.col("is_entry"), F.lit(1.0 / n_entries)).otherwise(0.0)
-    nodes = nodes_of(edges, entries).join(entries.withColumn("is_entry", F.lit(True)), "node", "left").withColumn("is_entry", F.coalesce("is_entry", F.lit(False)))
-    nodes = nodes.join(degree.withColumnRenamed("src", "node"), "node", "left").withColumn("home", home)
-    nodes = cut(nodes.where(F.lit(True)).select("node", "degree", "home"))
-    weighted = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(degree, "src").select("src", "dst", (F.col("m") / F.col("degree")).alias("w")))
-    p = nodes.select("node", F.col("home").alias("score"))
+    nodes = nodes_of(edges, entries).join(entries.withColumn("is_entry", F.lit(True)).hint("merge"), "node", "left")
+    nodes = nodes.join(degree.withColumnRenamed("src", "node").hint("merge"), "node", "left").select("node", home.alias("home"), F.col("degree").isNull().alias("ends"))
+    p = cut(nodes.withColumn("score", F.col("home")))
+    weighted = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")))
+    weighted = dealt(weighted.groupBy("src").agg(F.sum("m").alias("degree"), F.collect_list(F.struct("dst", "m")).alias("out")))
     for i in range(1, rounds + 1):
-        flow = weighted.join(p.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("score")).alias("flow"))
-        lost = p.join(nodes.where("degree IS NULL").select("node"), "node").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
-        p = nodes.join(flow, "node", "left").crossJoin(F.broadcast(lost)).select("node", ((1 - damping) * F.col("home") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("home"))).alias("score"))
+        sent = weighted.join(p.select(F.col("node").alias("src"), "score").hint("merge"), "src").select((F.col("score") / F.col("degree")).alias("each"), F.inline("out"))
+        flow = sent.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("m") * F.col("each")).alias("flow"))
+        lost = p.agg(F.coalesce(F.sum(F.when(F.col("ends"), F.col("score"))), F.lit(0.0)).alias("lost"))
+        score = (1 - damping) * F.col("home") + damping * (F.coalesce("flow", F.lit(0.0)) + F.col("lost") * F.col("home"))
+        p = p.join(flow.hint("merge"), "node", "left").crossJoin(F.broadcast(lost)).select("node", "home", "ends", score.alias("score"))
         if i % every == 0 and i < rounds:
             p = cut(p)
-    return p
+    return p.select("node", "score")
 
 
 def bfs(edges: DataFrame, entries: DataFrame, depth: int = 10, branching: int | None = 4, order: list[str] | None = None, terminal: list[str] | None = None) -> DataFrame:
