@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +142,73 @@ def cosine_scores(symbols: DataFrame, queries: DataFrame, block: int = QUERY_BLO
     return out
 
 
+def _packed(df: DataFrame, id_: str, most: int) -> DataFrame:
+    """n, dim, ids, data: vectors of one length (id, embedding) as matrices of at most `most` rows."""
+
+    def run(batches):
+        held: dict[int, tuple[list, list]] = {}
+
+        def out(dim):
+            ids, rows = held.pop(dim)
+            return pa.RecordBatch.from_pydict({"n": [len(ids)], "dim": [dim], "ids": [np.array(ids, np.int64).tobytes()], "data": [np.concatenate(rows).tobytes()]}, schema=pa.schema([("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())]))
+
+        for batch in batches:
+            keys, vectors = batch.column(0).to_pylist(), batch.column(1)
+            sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+            flat, at = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.concatenate(([0], np.cumsum(sizes)))
+            for i, dim in enumerate(sizes.tolist()):
+                ids, rows = held.setdefault(dim, ([], []))
+                ids.append(keys[i])
+                rows.append(flat[at[i] : at[i + 1]])
+                if len(ids) == most:
+                    yield out(dim)
+        for dim in list(held):
+            yield out(dim)
+
+    return df.select(F.col(id_).cast("long"), "embedding").mapInArrow(run, "n int, dim int, ids binary, data binary")
+
+
+def nearest(symbols: DataFrame, queries: DataFrame, k: int, rows: int = 1 << 15, block: int = 512) -> DataFrame:
+    """qid, id, vector_score of candidates that hold the k nearest of each query by `ranked`: all pairs, multiplied as matrices.
+
+    Each matrix of rows meets each matrix of queries and gives for each query its k best by (score to nine digits, id).
+    Vectors without a length in common, empty or null ones, and those with numbers that are null or not finite go the
+    way of `cosine_scores`.  Ids are whole numbers.
+    """
+    plain = F.coalesce(F.size("embedding") > 0, F.lit(False)) & ~F.coalesce(F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True))
+    sized = symbols.select("id", "embedding", F.when(plain, F.size("embedding")).alias("dim"))
+    asked = queries.select("qid", "embedding", F.when(plain, F.size("embedding")).alias("dim"))
+    dims = [r["dim"] for r in sized.select("dim").unionByName(asked.select("dim")).distinct().limit(2).collect()]
+    if len(dims) != 1 or dims[0] is None:
+        return cosine_scores(symbols, queries)
+    spread = asked.withColumnRenamed("qid", "id").repartition(asked.sparkSession.sparkContext.defaultParallelism)
+    q = _packed(spread, "id", block).select("dim", F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    pairs = _packed(sized, "id", rows).join(q.hint("shuffle_replicate_nl"), "dim")
+
+    def run(batches):
+        def unit(data, dim):
+            m = np.frombuffer(data, np.float64).reshape(-1, dim)
+            return m, np.sqrt((m * m).sum(axis=1))
+
+        for batch in batches:
+            for i in range(len(batch)):
+                dim, ids, data, q_ids, q_data = (batch.column(c)[i].as_py() for c in range(5))
+                (a, na), (b, nb) = unit(data, dim), unit(q_data, dim)
+                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+                found = []
+                for j in range(len(q_ids)):
+                    if j % 16 == 0:
+                        tile = b[j : j + 16] @ a.T / np.maximum(nb[j : j + 16, None] * na, 1e-12)
+                    x = tile[j % 16]
+                    least = np.partition(x, len(x) - k)[len(x) - k] - 2e-9 if len(x) > k else -np.inf
+                    near = np.flatnonzero(x >= least)
+                    near = near[np.lexsort((ids[near], -np.round(x[near], 9)))[:k]]
+                    found.append((np.full(len(near), q_ids[j]), ids[near], x[near]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["qid", "id", "vector_score"])
+
+    return pairs.select("dim", "ids", "data", "q_ids", "q_data").mapInArrow(run, "qid long, id long, vector_score double")
+
+
 def ranked(scores: DataFrame, score: str, rank: str, k: int = POOL) -> DataFrame:
     """The k best of each query.  Scores rank by nine digits: sums of doubles differ in the last ones with their order, and such ties go by id."""
     return ranking.top_k(scores, ["qid"], [F.desc(F.round(score, 9)), F.asc("id")], k, rank)

@@ -85,7 +85,7 @@ def vector_topk_batch(spark, d):
     """The ten nearest to each query vector; the queries are the ids divisible by 50, searched against all."""
     e = embedded(spark, d)
     q = e.where(F.col("id") % 50 == 0).select(F.col("id").alias("qid"), "embedding")
-    return rt.ranked(rt.cosine_scores(e, q), "vector_score", "rank", 10).select("qid", "id", "rank", F.round("vector_score", 6).alias("score"))
+    return rt.ranked(rt.nearest(e, q, 10), "vector_score", "rank", 10).select("qid", "id", "rank", F.round("vector_score", 6).alias("score"))
 
 
 @query(f"WITH {bm25_sql([('q', 'retion')])} SELECT id, round(bm25_score, 6) AS score FROM bm")
